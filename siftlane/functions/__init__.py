@@ -1,0 +1 @@
+"""Column expressions: CIGAR arithmetic, edit distances, flags, text."""

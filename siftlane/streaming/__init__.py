@@ -1,0 +1 @@
+"""The engine has batch operators only: fragments are complete groups, so there is nothing to window or to wait for."""
