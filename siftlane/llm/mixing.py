@@ -49,20 +49,18 @@ def _shared(nodes: DataFrame, parents: list[str], name: str, total: Column) -> D
     Children in order of capacity over weight fill up one after another while their share of what is
     left reaches their capacity; from the first that doesn't fill, the rest divide what is left by weight.
     """
-    order = [(F.col("capacity") / F.col("weight")).asc(), F.col(name).asc()]
-    ahead = Window.partitionBy(*parents).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ratio = (F.col("capacity").cast("double") / F.col("weight").cast("double")).alias("x")
+    ahead = Window.partitionBy(*parents).orderBy(ratio, name).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parents)
-    big = "decimal(38,0)"
-    n = nodes.withColumn("total", total.cast("decimal(20,0)"))
-    n = n.withColumn("rest", (F.col("total") - F.coalesce(F.sum("capacity").over(ahead), F.lit(0))).cast("decimal(20,0)"))
+    amount = "decimal(20,0)"
+    n = nodes.withColumn("total", total.cast(amount))
+    n = n.withColumn("rest", (F.col("total") - F.coalesce(F.sum("capacity").over(ahead), F.lit(0))).cast(amount))
     n = n.withColumn("mass", (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(ahead), F.lit(0))).cast("decimal(18,0)"))
-    n = n.withColumn("full", (F.col("capacity").cast("decimal(20,0)") * F.col("mass")).cast(big) <= (F.col("weight") * F.greatest("rest", F.lit(0).cast("decimal(20,0)"))).cast(big))
-    # Rest and mass at the first child that doesn't fill: they hold for all from there on.
-    first = F.min_by(F.struct("rest", "mass"), F.struct((F.col("capacity") / F.col("weight")).alias("x"), F.col(name).alias("y"))).over(whole)
-    n = n.withColumn("open", F.min(F.when(~F.col("full"), F.struct((F.col("capacity") / F.col("weight")).alias("x"), F.col(name).alias("y"), F.col("rest").alias("rest"), F.col("mass").alias("mass")))).over(whole))
+    n = n.withColumn("full", F.col("capacity") * F.col("mass") <= F.col("weight") * F.greatest("rest", F.lit(0).cast(amount)))
+    # Rest and mass at the first child that doesn't fill hold for all from there on.
+    n = n.withColumn("open", F.min(F.when(~F.col("full"), F.struct(ratio, F.col(name).alias("y"), "rest", "mass"))).over(whole))
     share = F.expr("cast((weight * open.rest) div open.mass as decimal(20,0))")
-    del first
-    return n.withColumn("given", F.when(F.col("full"), F.col("capacity")).otherwise(F.least("capacity", share)).cast("decimal(20,0)")).drop("total", "rest", "mass", "full", "open")
+    return n.withColumn("given", F.when(F.col("full"), F.col("capacity")).otherwise(F.least("capacity", share)).cast(amount)).drop("total", "rest", "mass", "full", "open")
 
 
 def budgets(leaves: DataFrame, budget: int, epochs: int, weights: Mapping[str, Mapping[str, float]]) -> DataFrame:
@@ -101,10 +99,10 @@ def mix(df: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, key:
     plan = given.select(*LEVELS, "tokens", "given", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     plan = plan.withColumn("part", F.col("given") - F.col("epoch") * F.col("tokens")).where("part > 0")
     named = rows.join(plan, list(LEVELS))
-    named = named.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("name")).cast("binary")))
-    named = named.withColumn("range", F.substring("place", 1, DIGITS))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("name")).cast("binary"))
+    named = named.withColumn("place", place).withColumn("range", F.substring("place", 1, DIGITS))
     cells = rows.join(plan.where("part < tokens"), list(LEVELS))
-    cells = cells.select(*LEVELS, "epoch", "part", "n_tokens", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("name")).cast("binary")), 1, DIGITS).alias("range"))
+    cells = cells.select(*LEVELS, "epoch", "part", "n_tokens", F.substring(place, 1, DIGITS).alias("range"))
     cells = cells.groupBy(*LEVELS, "epoch", "range").agg(F.sum("n_tokens").alias("n"), F.max("part").alias("part"))
     upto = F.sum("n").over(Window.partitionBy(*LEVELS, "epoch").orderBy("range"))
     # The range that holds the end of a leaf's prefix, and what it may still take.

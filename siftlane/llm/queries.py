@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlane.llm import bpe, chat, itq, langid, lm, media, minhash, mixing, packing, sharding
+from siftlane.llm import bpe, chat, itq, langid, lm, media, minhash, mixing, oracle, packing, sharding
 from siftlane.llm.common import fold, read_table, stage
 
 #: The vocabulary of op3 and the pipeline.
@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_best_fit_packing, op2_deleted_interpolation, op3_bpe_speculate_verify, op4_virtual_slots, op5_hierarchical_budgets, op6_wav_fingerprints, op7_transcript_roles, op8_subword_langid, op9_itq_dedup, op10_circulant_minhash)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
