@@ -169,5 +169,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     unstage(members)
     out = base.drop("bands").join(named, "digest", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
