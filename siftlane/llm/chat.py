@@ -3,7 +3,7 @@
 A transcript is lines of text, some of which begin with a speaker marker ("User:", "[assistant]", a
 bare dash, or nothing). The states are a role and whether the line begins a turn; a line's
 observation is its marker's kind, its length, its ending and its first letter. Start, transition and
-emission probabilities are counted on transcripts whose roles are known (smoothed by one); Viterbi
+emission probabilities are counted on transcripts whose roles are known, and smoothed; Viterbi
 finds the likeliest states of a transcript's lines, from which turns and roles follow.
 """
 
@@ -74,9 +74,15 @@ class Hmm:
         return out
 
 
-def _smooth(counts: np.ndarray) -> np.ndarray:
-    counts = counts + 1.0
-    return np.log(counts / counts.sum(axis=-1, keepdims=True))
+def _smooth(counts: np.ndarray, share: float = 0.01) -> np.ndarray:
+    """Log-probabilities of rows of counts, each mixed with a share of all rows' own distribution.
+
+    So what a state never showed is as unlikely for a rare state as for a common one.
+    """
+    whole = counts.reshape(-1, counts.shape[-1]).sum(axis=0) + 1.0
+    total = counts.sum(axis=-1, keepdims=True)
+    own = np.where(total > 0, counts / np.maximum(total, 1), whole / whole.sum())
+    return np.log((1 - share) * own + share * whole / whole.sum())
 
 
 def fit(labelled: DataFrame) -> Hmm:
