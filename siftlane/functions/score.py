@@ -82,32 +82,33 @@ def edit_distance(seq: str, window: str, ops: Column, converted: Column | None =
     without regard to case; N and other codes match only themselves. converted: CT or GA; a C of the
     reference read as T, or a G read as A, is then no mismatch.
     """
-    s, r = F.upper(seq), F.upper(window)
+    zero = F.lit(0).cast("bigint")
 
-    def mismatches(at_read: Column, at_ref: Column, n: Column) -> Column:
+    def mismatches(z: Column, at_read: Column, at_ref: Column, n: Column) -> Column:
         def differs(i: Column) -> Column:
-            a, b = F.substring(s, at_read + i + 1, F.lit(1)), F.substring(r, at_ref + i + 1, F.lit(1))
+            a, b = F.get(z["s"], (at_read + i).cast("int")), F.get(z["r"], (at_ref + i).cast("int"))
             bad = a != b
             if converted is not None:
-                bad = bad & ~(((converted == "CT") & (b == "C") & (a == "T")) | ((converted == "GA") & (b == "G") & (a == "A")))
-            return bad
-
-        places = F.sequence(F.lit(0), (n - 1).cast("int"))
-        return F.size(F.filter(places, differs)).cast("bigint")
-
-    zero = F.lit(0).cast("bigint")
-
-    def step(state: Column, o: Column) -> Column:
-        op, n = o["op"], o["len"]
-        aligned = op.isin("M", "=", "X")
-        nm = F.when(aligned, mismatches(state["read"].cast("int"), state["ref"].cast("int"), n)).when(op.isin("I", "D"), n).otherwise(zero)
-        return F.struct(
-            (state["read"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(zero)).alias("read"),
-            (state["ref"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(zero)).alias("ref"),
-            (state["nm"] + nm).alias("nm"),
-        )
-
-    return F.aggregate(ops, F.struct(zero.alias("read"), zero.alias("ref"), zero.alias("nm")), step, lambda state: state["nm"])
+                bad = bad & ~(((z["to"] == "CT") & (b == "C") & (a == "T")) | ((z["to"] == "GA") & (b == "G") & (a == "A")))
+            return F.coalesce(bad, F.lit(True))
+
+        return F.size(F.filter(F.sequence(F.lit(0), (n - 1).cast("int")), differs)).cast("bigint")
+
+    def whole(z: Column) -> Column:
+        def step(state: Column, o: Column) -> Column:
+            op, n = o["op"], o["len"]
+            nm = F.when(op.isin("M", "=", "X"), mismatches(z, state["read"], state["ref"], n)).when(op.isin("I", "D"), n).otherwise(zero)
+            return F.struct(
+                (state["read"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(zero)).alias("read"),
+                (state["ref"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(zero)).alias("ref"),
+                (state["nm"] + nm).alias("nm"),
+            )
+
+        return F.aggregate(z["ops"], F.struct(zero.alias("read"), zero.alias("ref"), zero.alias("nm")), step, lambda state: state["nm"])
+
+    # One element, so that the bases are parted once for a record and then looked up by their place.
+    bases = F.struct(F.split(F.upper(seq), "").alias("s"), F.split(F.upper(window), "").alias("r"), ops.alias("ops"), (F.lit(None).cast("string") if converted is None else converted).alias("to"))
+    return F.get(F.transform(F.array(bases), whole), 0)
 
 
 def reference_error(seq: str = "seq", window: str = "window", cigar: str = "cigar", pos: str = "pos", flag: str = "flag", ref_id: str = "ref_id") -> Column:
