@@ -96,19 +96,19 @@ def mix(df: DataFrame, share: float = 0.6, epochs: int = 2, seed: int = 17, key:
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).head()[0]
     given = stage(budgets(leaves, int(total * share), epochs, weights), "mix-budgets")
     # What each leaf reads in each epoch: all of it, or in its last one the rest.
+    leaf = [*LEVELS, "epoch"]
     plan = given.select(*LEVELS, "tokens", "given", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     plan = plan.withColumn("part", F.col("given") - F.col("epoch") * F.col("tokens")).where("part > 0")
-    named = rows.join(plan, list(LEVELS))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("name")).cast("binary"))
-    named = named.withColumn("place", place).withColumn("range", F.substring("place", 1, DIGITS))
-    cells = rows.join(plan.where("part < tokens"), list(LEVELS))
-    cells = cells.select(*LEVELS, "epoch", "part", "n_tokens", F.substring(place, 1, DIGITS).alias("range"))
-    cells = cells.groupBy(*LEVELS, "epoch", "range").agg(F.sum("n_tokens").alias("n"), F.max("part").alias("part"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS, "epoch").orderBy("range"))
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("place", place).withColumn("range", F.substring("place", 1, DIGITS))
+    # Sums by ranges come before any join, so that a leaf with most of the rows is never one task's.
+    cells = each.groupBy(*leaf, "range").agg(F.sum("n_tokens").alias("n")).join(plan.where("part < tokens"), leaf)
+    cells = cells.select(*leaf, "range", "n", "part", "given", F.sum("n").over(Window.partitionBy(*leaf).orderBy("range")).alias("upto"))
     # The range that holds the end of a leaf's prefix, and what it may still take.
-    cut = cells.withColumn("upto", upto).where("upto > part").groupBy(*LEVELS, "epoch").agg(F.min("range").alias("cut"), F.min_by(F.col("part") - F.col("upto") + F.col("n"), "range").alias("room"))
-    marked = named.join(cut, [*LEVELS, "epoch"], "left")
-    whole = marked.where("cut is null or range < cut").select("id", *LEVELS, "n_tokens", "epoch", "given")
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS, "epoch", "range").orderBy("place", "name", "crc", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    partly = marked.where("range = cut").withColumn("upto", run).where("upto <= room").select("id", *LEVELS, "n_tokens", "epoch", "given")
+    ends = stage(cells.where("upto > part").groupBy(*leaf).agg(F.min("range").alias("range"), F.min_by(F.col("part") - F.col("upto") + F.col("n"), "range").alias("room"), F.first("given").alias("given")), "mix-ends")
+    cut = plan.select(*leaf, "given").join(ends.select(*leaf, F.col("range").alias("cut")), leaf, "left")
+    chosen = ["id", *LEVELS, "n_tokens", "epoch", "given"]
+    whole = each.join(cut, leaf).where("cut is null or range < cut").select(*chosen)
+    run = F.sum("n_tokens").over(Window.partitionBy(*leaf, "range").orderBy("place", "name", "crc", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    partly = each.join(ends, [*leaf, "range"]).withColumn("upto", run).where("upto <= room").select(*chosen)
     return whole.unionByName(partly)
