@@ -47,7 +47,7 @@ def substrings(bits: int, tables: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, tables: int = 6, most_bits: int = 64, distance: int = 24) -> DataFrame:
+def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, tables: int = 6, most_bits: int = 64, distance: int = 18) -> DataFrame:
     """id, n_links (other rows linked directly), component_id (smallest id reachable) and kept, for each row.
 
     Rows link when their labels are equal and not null and their vectors' cosine is at least the
