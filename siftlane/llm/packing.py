@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of the key's hash, in which ranks are counted.
-CELLS = 256
+#: Ranks are counted in cells of the key's hash: so many at least, and so many rows of one length in a cell on average at most.
+CELLS, CELL_ROWS = 256, 50_000
 
 
 class CapacityTree:
@@ -102,10 +102,10 @@ def pack(df: DataFrame, row: int = 8192, key: str = "doc_id", ids: str | Column
     base = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(raw, F.lit(b"")).alias("raw"))
     n = (F.octet_length("raw") / width).cast("int")
     base = base.select("id", "raw", n.alias("n"), (n % row).alias("rest"), F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("h"))
-    cell = (F.col("h") % CELLS).cast("int")
+    histogram = [(r[0], r[1]) for r in base.where("rest > 0").groupBy("rest").count().collect()]
+    runs, _ = best_fit_decreasing(histogram, row)
+    cell = (F.col("h") % max(CELLS, -(-max((n for _, n in histogram), default=0) // CELL_ROWS))).cast("int")
     counted = base.where("rest > 0").groupBy(cell.alias("cell"), "rest").agg(F.count("*").alias("m"))
-    histogram = counted.groupBy("rest").agg(F.sum("m").alias("m"))
-    runs, _ = best_fit_decreasing([(r[0], r[1]) for r in histogram.collect()], row)
     spark = df.sparkSession
     table = spark.createDataFrame([tuple(map(int, r)) for r in runs], "rest int, low long, high long, first long, each long, at long")
     before = F.sum("m").over(Window.partitionBy("rest").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
