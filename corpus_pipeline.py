@@ -13,6 +13,9 @@ from siftlane.llm import bpe, langid, minhash, mixing
 from siftlane.llm.common import read_table, stage
 from siftlane.llm.queries import TOKENIZER
 
+#: Column of a row's own number within a stage.
+ROW = "__row"
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or below the model's limit go."""
@@ -21,9 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, and all that are in none."""
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80, rows=5, bands=24).where("kept").select("id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """The first document of each group of near-duplicates, and all that are in none.
+
+    Each row is a document of its own, by a staged number, as doc_id may be null or repeated. First is
+    the least doc_id, null last, and of equal ones the least number.
+    """
+    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, key=ROW, shingle=5, percent=80, rows=5, bands=24).select(F.col("id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    kept = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
