@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 _staged: list[tuple[SparkSession, str]] = []
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of our own is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster has none that all see, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="staged-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="staged-")
+        found = _own[app]
     return found.rstrip("/")
 
 

@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     In each round a node, and the node that its label names, take the smallest label that a neighbour's
     label has; then labels are followed one step on. Whole trees of labels are hung onto one another,
     so a chain of 100,000 nodes, however numbered, takes about 18 rounds. Rounds go on until no label
-    changes. Tables of each round are staged, those of the round before deleted.
+    changes. Tables of each round are staged, those of the round before deleted; the result is the last
+    of them, for unstage().
     """
     e = edges.where("src is not null and dst is not null and src <> dst")
     both = stage(e.select("src", "dst").union(e.select("dst", "src")).distinct(), f"{name}-edges")
@@ -35,4 +36,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if not labels.where("changed").head(1):
             break
     unstage(both)
-    return labels.select("node", "component")
+    out = labels.select("node", "component")
+    out._staged_path = labels._staged_path
+    return out
