@@ -17,7 +17,8 @@ three rounds verify it, each on what the one before has joined:
    tiles of two chunks; documents of the core never meet again.
 
 A task returns one link for each two classes that it joins, so links are at most as many as documents
-in rounds 1 and 2. Texts are shuffled once; rounds 2 and 3 send sets of shingles. Round 3 grows with the
+in rounds 1 and 2. All texts are shuffled once by id to meet the candidates, those of candidates once
+more to their chunks; rounds 2 and 3 send sets of shingles. Round 3 grows with the
 documents outside the core times the component, in tiles: that is the price of exactness for crowds of
 documents just below the threshold.
 """
@@ -297,17 +298,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = texts.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    first = stage(texts.join(placed, "rep").groupBy("component", "cell", "chunk").applyInArrow(alone, "node long, class long, component long, cell long, chunk int, shingles binary"), "minhash-first")
+    # Candidates grow with the table, so they are never broadcast; hashing them spares a sort of the texts.
+    first = stage(texts.join(placed.hint("shuffle_hash"), "rep").groupBy("component", "cell", "chunk").applyInArrow(alone, "node long, class long, component long, cell long, chunk int, shingles binary"), "minhash-first")
     found = first.select("node", F.col("class").alias("label"))
     crowded, labels = first.where("shingles is not null"), None
     if crowded.head(1):
         labels = join_crowds(crowded, percent)
         found = first.join(labels, "class", "left").select("node", F.coalesce("label", "class").alias("label"))
-    found = found.join(members.select("node", "rep", "digest"), "node")
+    found = found.join(members.select("node", "rep"), "node")
     least = found.groupBy("label").agg(F.min("rep").alias("component"))
-    named = found.join(least, "label").select("digest", "component")
-    out = base.drop("bands").join(named, "digest", "left").join(classes.select("digest", "rep"), "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+    found = found.join(least, "label").select("node", "component")
+    named = classes.select("digest", "rep", "node").join(found, "node", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = base.drop("bands").join(named, "digest", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = stage(out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")), "minhash-result")
     for t in (base, classes, members, first, labels):
         if t is not None:
