@@ -299,7 +299,83 @@ def test_rotation_balances_bits():
     mean, turn = itq.fit_rotation(x, 16)
     bits = (x - mean) @ turn >= 0
     assert (np.abs(bits.mean(0) - 0.5) < 0.1).all()
-    assert [w for _, w in itq.substrings(64, 6)] == [11, 10, 11, 11, 10, 11]
+
+
+def exact_links(x, labels, threshold=0.93):
+    y = np.asarray(x, float)
+    y = y / np.abs(y).max(axis=1, keepdims=True)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = (y @ y.T >= threshold) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(near, False)
+    return near.sum(1)
+
+
+def test_vectors_of_any_size_and_length(spark):
+    """Components as large as 1e160 and as small as 1e-170, and vectors of other lengths."""
+    r = np.random.default_rng(4)
+    a = r.normal(size=8)
+    far = a.copy()
+    far[:4] += 0.55 * np.linalg.norm(a) * np.array([1, -1, 1, -1]) / 2
+    rows = [(0, a * 1e160), (1, a * 1e160 * 1.5), (2, far * 1e160), (3, a * 1e-170), (4, a), (5, np.array([1.0, 2.0])), (6, np.array([1.0, 2.0])), (7, np.array([2.0, 4.000001])), (8, np.array([5e-324] + [0.0] * 7)), (9, np.array([-3.0])), (10, np.array([-7.0])), (11, np.array([7.0])), (12, np.full(8, 1.7e308))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows] + [(13, a.tolist(), 2), (14, a.tolist(), None), (4, (-a).tolist(), 1)], "vec_id long, embedding array<double>, label int")
+    got = sorted((x.id, x.n_links, x.component_id) for x in itq.near_vectors(df).collect())
+    want = dict.fromkeys(range(15), 0)
+    eight = [0, 1, 2, 3, 4, 8, 12]
+    by = dict(rows)
+    for i, n in zip(eight, exact_links([by[i] / np.abs(by[i]).max() for i in eight], [1] * len(eight))):
+        want[i] = n
+    want |= {5: 2, 6: 2, 7: 2, 9: 1, 10: 1}
+    assert want[0] == want[1] == want[3] == want[4] == 3 and want[2] == 0
+    assert [(i, n) for i, n, _ in got] == sorted([*want.items(), (4, 0)])
+    assert {(i, c) for i, _, c in got} >= {(1, 0), (3, 0), (4, 0), (6, 5), (7, 5), (10, 9), (11, 11), (2, 2)}
+
+
+@pytest.mark.parametrize("mean", [0.0, 1.0, 2.0])
+def test_recall_with_a_common_direction(spark, mean):
+    """Near vectors are found also where all vectors point alike (mean cosines of 0, 0.5 and 0.8)."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1200, 32)) / np.sqrt(32) + mean * np.eye(32)[0]
+    for k in range(0, 1200, 2):
+        u, v = x[k] / np.linalg.norm(x[k]), r.normal(size=32)
+        v -= (v @ u) * u
+        c = r.choice([0.93, 0.935, 0.95, 0.98]) + 1e-6
+        x[k + 1] = c * u + np.sqrt(1 - c * c) * v / np.linalg.norm(v)
+    labels = (np.arange(1200) // 2 % 3).tolist()
+    df = spark.createDataFrame([(i, v.tolist(), labels[i]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = exact_links(x, labels)
+    got = {y.id: y.n_links for y in itq.near_vectors(df).collect()}
+    links = np.array([got[i] for i in range(1200)])
+    assert (links <= want).all() and links.sum() >= 0.98 * want.sum() and want.sum() >= 1200
+
+
+def test_a_crowd_of_near_vectors_is_counted_whole(spark, monkeypatch):
+    """Tiles of two chunks: every pair counts once."""
+    monkeypatch.setattr(itq, "CHUNK", 16)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=24) + 0.12 * r.normal(size=(150, 24)), r.normal(size=(50, 24))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {y.id: (y.n_links, y.component_id) for y in itq.near_vectors(df).collect()}
+    want = exact_links(x, [1] * 200)
+    links = np.array([got[i][0] for i in range(200)])
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum() and want.sum() > 15000
+    assert {got[i][1] for i in range(150)} == {0}
+
+
+def test_tables_follow_the_rows():
+    assert itq.shape_of_tables(2000, 0.12)[0] < itq.shape_of_tables(60000, 0.12)[0]
+    for rows, differ in ((1, 0.12), (10**4, 0.12), (10**6, 0.12), (10**9, 0.12), (10**6, 0.3), (10**6, 0.5)):
+        width, tables = itq.shape_of_tables(rows, differ)
+        assert width >= 2 and (1 - (1 - min(0.45, differ)) ** width) ** tables <= itq.MISS * 1.001
+    r = np.random.default_rng(1)
+    x = itq.unit(r.normal(size=(3000, 64)))
+    alike = itq.unit(x + 0.25)
+    assert 0.1 < itq.bit_difference(x, 0.93) < 0.15 < itq.bit_difference(alike, 0.93) and itq.bit_difference(alike, 0.93, centred=False) < 0.2
+    assert 0.12 < itq.expected_difference(alike, 0.93) < 0.19 and itq.expected_difference(x[:9], 0.93) < 0.13
+    mean, turn = itq.rotations(x, 200)
+    assert turn.shape == (64, 200) and itq.rotations(np.zeros((0, 3)), 10)[1].shape == (3, 10)
+    i, j = r.integers(0, 50, 40), r.integers(0, 50, 40)
+    root = itq.least_reached(50, i, j)
+    assert (root[i] == root[j]).all() and (root <= np.arange(50)).all() and (root[root] == root).all()
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
