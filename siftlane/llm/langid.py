@@ -4,7 +4,12 @@ Every byte n-gram of a word (2 to 4 bytes, word borders included) is hashed to a
 table; a text's vector is the mean of its rows, and a linear layer with softmax gives the languages'
 probabilities. Embeddings and layer are trained by stochastic gradient descent in numpy. As both are
 linear, embeddings and layer fold into one table of scores for each n-gram, by which texts are scored.
-A temperature and a limit fitted on texts kept apart calibrate the probability and the rejection.
+A temperature fitted on texts kept apart calibrates the probability.
+
+A text is rejected for one of three reasons: it is null or has no letter; its best probability is below
+the model's limit; or too few of its longest n-grams occur in the training texts (foreign or garbled
+text, whose probability may be high all the same). Both limits come from the texts kept apart and lie
+well below what those show, so clean text of a learned language stays.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ DIMENSIONS = 16
 #: Bound of the sample of labelled texts: so many for each language, and so many in all.
 PER_LANGUAGE, MOST_SAMPLE = 300, 6000
 BLOCK = 1 << 20
+#: A class's weight in training, at most; a score of an n-gram beyond which a descent counts as failed.
+MOST_WEIGHT, MOST_SCORE = 10.0, 1e6
+#: Of a text's longest n-grams so many count as seen besides those that are.
+SPARE = 4
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: Bytes that are no part of a word: all of ASCII but letters.
@@ -53,25 +62,44 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """languages, rows (scores of each n-gram), bias, temperature and limit."""
+    """languages, rows (scores of each n-gram), bias, seen (the n-grams of training texts), temperature and limits."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, limit: float = 0.0):
-        self.languages, self.bias, self.temperature, self.limit = languages, bias, temperature, limit
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, seen: np.ndarray | None = None, temperature: float = 1.0, limit: float = 0.0, least_seen: float = 0.0):
+        self.languages, self.bias, self.temperature, self.limit, self.least_seen = languages, bias, temperature, limit, least_seen
         self.rows = np.concatenate([table, np.zeros((1, len(languages)), table.dtype)])  # the last row: n-grams that don't count
+        self.seen = np.append(np.ones(BUCKETS, bool) if seen is None else seen, False)
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """A row for each text; a text without n-grams has the bias alone."""
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of logits for each text (without n-grams: the bias alone), and the share of its longest n-grams that training texts have.
+
+        SPARE n-grams count as seen besides, so that a few unknown words don't decide on a short text.
+        """
         buf, begin = _joined(texts)
         total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for ids, ok in gram_ids(buf):
-            total += np.add.reduceat(self.rows[np.where(ok, ids, BUCKETS)], begin[:-1], axis=0, dtype=np.float64)
-            n += np.add.reduceat(ok, begin[:-1], dtype=np.int64)
-        return total / np.maximum(n, 1)[:, None] + self.bias
+            at = np.where(ok, ids, BUCKETS)
+            total += np.add.reduceat(self.rows[at], begin[:-1], axis=0, dtype=np.float64)
+            own = np.add.reduceat(ok, begin[:-1], dtype=np.int64)
+            n += own
+            share = (np.add.reduceat(self.seen[at], begin[:-1], dtype=np.int64) + SPARE) / (own + SPARE)
+        return total / np.maximum(n, 1)[:, None] + self.bias, share
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        return self.measure(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, and whether a text is rejected."""
+        z, share = self.measure(texts)
+        p = softmax(z / self.temperature)
+        return p, (p.max(axis=1) < self.limit) | (share < self.least_seen)
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
-        z = self.logits(texts) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return self.judge(texts)[0]
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -85,22 +113,15 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: list[str], labels: list[str], apart: list[bool], epochs: int = 8, rate: float = 6.0, batch: int = 16, seed: int = 11) -> Model:
-    """Fit to the texts that are not apart; calibrate on those that are."""
-    languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels], np.int64)
-    apart_ = np.array(apart, bool)
-    if apart_.all() or not apart_.any():
-        apart_[:] = False
+def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int, rate: float, batch: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, layer and bias. Steps are clipped: no text pulls its embeddings, and no batch the layer, by more than a unit."""
     rng = np.random.default_rng(seed)
-    embed, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, len(languages))), np.zeros(len(languages))
-    own = np.flatnonzero(~apart_)
-    bags = _bags([texts[i] for i in own])
-    share = np.bincount(y[own], minlength=len(languages))
-    weight = (len(own) / (len(languages) * np.maximum(share, 1)))[y[own]]
-    steps, total = 0, epochs * -(-len(own) // batch)
+    embed, layer, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, classes)), np.zeros(classes)
+    share = np.bincount(y, minlength=classes)
+    weight = np.minimum(len(y) / (classes * np.maximum(share, 1)), MOST_WEIGHT)[y]
+    steps, total = 0, epochs * -(-len(y) // batch)
     for _ in range(epochs):
-        order = rng.permutation(len(own))
+        order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
             pick = [i for i in order[k : k + batch].tolist() if len(bags[i][0])]
             if not pick:
@@ -109,41 +130,65 @@ def train(texts: list[str], labels: list[str], apart: list[bool], epochs: int =
             size = np.array([len(bags[i][0]) for i in pick])
             at = np.cumsum(size) - size
             hidden = np.add.reduceat(embed[ids] * part[:, None], at)
-            z = hidden @ layer + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(pick)), y[own[pick]]] -= 1
+            p = softmax(hidden @ layer + bias)
+            p[np.arange(len(pick)), y[pick]] -= 1
             p *= weight[pick][:, None] / len(pick)
             step = rate * (1 - steps / total)
             steps += 1
-            pull = p @ layer.T
-            layer -= 0.1 * step * hidden.T @ p
+            pull, turn = p @ layer.T, hidden.T @ p
+            pull /= np.maximum(1, np.linalg.norm(pull, axis=1, keepdims=True))
+            turn /= max(1.0, float(np.linalg.norm(turn)))
+            layer -= 0.1 * step * turn
             bias -= 0.01 * step * p.sum(axis=0)
             np.subtract.at(embed, ids, step * part[:, None] * np.repeat(pull, size, axis=0) * 10)
-    model = Model(languages, (embed @ layer).astype(np.float32), bias)
+    return embed, layer, bias
+
+
+def train(texts: list[str], labels: list[str], apart: list[bool], epochs: int = 8, rate: float = 6.0, batch: int = 16, seed: int = 11) -> Model:
+    """Fit to the texts that are not apart; calibrate on those that are. A descent that ends in numbers that aren't finite, or beyond MOST_SCORE, is made again at a quarter of the rate."""
+    languages = sorted(set(labels))
+    y = np.array([languages.index(x) for x in labels], np.int64)
+    apart_ = np.array(apart, bool)
+    if apart_.all() or not apart_.any():
+        apart_[:] = False
+    own = np.flatnonzero(~apart_)
+    bags = _bags([texts[i] for i in own])
+    seen = np.zeros(BUCKETS, bool)
+    for i in own.tolist():
+        *_, (ids, ok) = gram_ids(_joined([texts[i]])[0])
+        seen[ids[ok]] = True
+    while True:
+        with np.errstate(all="ignore"):
+            embed, layer, bias = _descend(bags, y[own], len(languages), epochs, rate, batch, seed)
+            table = (embed @ layer).astype(np.float32)
+        if np.isfinite(table).all() and np.isfinite(bias).all() and max(np.abs(table).max(), np.abs(bias).max()) < MOST_SCORE:
+            break
+        rate /= 4
+    model = Model(languages, table, bias, seen)
     return calibrate(model, [t for t, a in zip(texts, apart_, strict=True) if a], y[apart_])
 
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
-    """The temperature of least cross-entropy, and a limit that at most one right answer in a thousand falls below.
+    """The temperature of least cross-entropy, and the limits, from texts kept apart.
 
-    The limit is half the least probability of that share of right answers, and never above 0.5, so
-    that clean texts stay.
+    Each limit is half of what all but one right answer in a thousand reach: of the probability (at most
+    0.5), and of the share of n-grams known. So clean texts stay.
     """
     if not texts:
         return model
-    z = model.logits(texts)
+    z, share = model.measure(texts)
 
     def loss(t: float) -> float:
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
 
-    model.temperature = float(min(np.geomspace(0.2, 5, 41), key=loss))
-    p = model.probabilities(texts)
+    model.temperature = float(min(np.geomspace(0.01, 100, 161), key=loss))
+    p = softmax(z / model.temperature)
     right = p.argmax(axis=1) == y
     if right.any():
         model.limit = float(min(0.5, np.quantile(p.max(axis=1)[right], 0.001) / 2))
+        model.least_seen = float(np.quantile(share[right], 0.001) / 2)
     return model
 
 
@@ -151,7 +196,9 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     """Train on a bounded sample of the labelled rows that are not held out; None if there are none.
 
     Of each language about PER_LANGUAGE rows with the least hashes of their keys are taken, MOST_SAMPLE
-    in all; a fifth of them, by another hash, calibrates.
+    in all; a fifth of them, by another hash, calibrates. Rows with a null label or text, or a text
+    without a letter, teach nothing; repeated rows count each; ties of the hash go by key, and rows alike
+    in both by text, so the sample is the same in each run. A single language is learned as the only one.
     """
     modulus, remainder = held
     known = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("lang"), fold(key, modulus).alias("part"))
@@ -163,7 +210,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     enough = F.lit(False)
     for lang, n in counts.items():
         enough = enough | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, PER_LANGUAGE / n))))
-    rows = known.where(enough).withColumn("place", place).orderBy("place", "key").limit(MOST_SAMPLE).select("key", "text", "lang", (F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) == 0).alias("apart")).collect()
+    rows = known.where(enough).withColumn("place", place).orderBy("place", "key", "text").limit(MOST_SAMPLE).select("key", "text", "lang", (F.pmod(F.xxhash64("key", F.lit(4)), F.lit(5)) == 0).alias("apart")).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["key"] or "", r["text"]))
     if not rows:
         return None
@@ -181,8 +228,11 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """id, held_out, lang_pred, score (calibrated probability) and rejected, for each row's whole text, and the columns to keep.
 
     A text that is null or has no letter is `und` with score 0 and rejected, and so is every text if
-    there is no model. rejected also marks texts whose score is below the model's limit. The model (a
-    table of BUCKETS rows by the number of languages) is broadcast; it doesn't grow with the data.
+    there is no model. rejected also marks texts whose score, or share of known n-grams, is below the
+    model's limits. Of languages with one score the first by name counts. Texts of any length are read
+    whole; repeated rows are judged each; an empty table gives an empty result. Kept columns come out as
+    kept_<name>, so names can't clash. The model (a table of BUCKETS rows by the number of languages) is
+    broadcast; it doesn't grow with the data.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     new = ("id", "held_out", "lang_pred", "score", "rejected")
@@ -194,14 +244,12 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
             texts = batch.column(2).to_pylist()
             for begin, end in slices(texts, BLOCK):
                 own = texts[begin:end]
-                langs, scores = ["und"] * len(own), [0.0] * len(own)
+                langs, scores, out = ["und"] * len(own), [0.0] * len(own), [True] * len(own)
                 full = [i for i, t in enumerate(own) if model and t and has_letter(t)]
                 if full:
-                    p = model.probabilities([own[i] for i in full])
-                    for i, row in zip(full, p, strict=True):
+                    for i, row, odd in zip(full, *model.judge([own[i] for i in full]), strict=True):
                         k = int(row.argmax())
-                        langs[i], scores[i] = model.languages[k], float(row[k])
-                out = [lang == "und" or s < model.limit for lang, s in zip(langs, scores, strict=True)]
+                        langs[i], scores[i], out[i] = model.languages[k], float(row[k]), bool(odd)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_()), *(batch.column(3 + k).slice(begin, end - begin) for k in range(len(keep)))], [*new, *(f"kept_{c}" for c in keep)])
 
     own = [F.col(f"`{key}`").cast("long").alias("id"), (fold(key, held[0]) == held[1]).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text")]

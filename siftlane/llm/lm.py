@@ -9,7 +9,10 @@ training document.
 How it scales: texts are packed into blocks; a block sends each distinct word and pair once, as sorted
 64-bit hashes in a few compressed rows, to the bucket that counts that range of hashes; the bucket
 answers every block with the counts in the block's own order. A frequent word is one entry of a block,
-so no bucket is hot, and no vocabulary reaches the driver. Two words with one 64-bit hash (or two pairs
+so no bucket is hot, and no vocabulary reaches the driver. Blocks and buckets both grow with the square
+root of the corpus until a task's memory is the limit (MOST_BYTES, at about 1 TB), so a message stands
+for MESSAGE bytes of text and their number is in proportion to the corpus. Beyond, messages get shorter;
+as empty ones aren't sent, there are never more of them than distinct words and pairs of the blocks. Two words with one 64-bit hash (or two pairs
 with one 56-bit hash) would be counted together; the chance per lookup is the number of distinct ones
 over 2^64 (2^56).
 """
@@ -36,6 +39,14 @@ STEPS = 8
 _ZERO = 1 << 20
 #: Context-frequency buckets: 0, 1, 2-3, 4-7, ...
 BUCKETS = 40
+#: Text that a message stands for; text of a block, and of a bucket, at least and at most.
+MESSAGE, LEAST_BYTES, MOST_BYTES = 4096, 6 << 20, 64 << 20
+
+
+def sizes(corpus_bytes: int) -> tuple[int, int]:
+    """Bytes of text of a block and of a bucket: their product is MESSAGE times the corpus, within the limits."""
+    side = int((corpus_bytes * MESSAGE) ** 0.5)
+    return min(MOST_BYTES, max(LEAST_BYTES, side)), min(MOST_BYTES, max(LEAST_BYTES * 4 // 3, side))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -204,16 +215,21 @@ def fit_weights(events: list[tuple[int, int, int, int]], uniform: float, rounds:
     return weights
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: tuple[int, int] = (7, 2), deleted: int = 3, block_bytes: int = 6 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: tuple[int, int] = (7, 2), deleted: int = 3, block_bytes: int | None = None, bucket_bytes: int | None = None, weights: np.ndarray | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row's whole text.
 
     held: modulus and remainder of crc32(key as text) that keep a row out of the model; deleted: the
     remainder of the training rows whose tokens fit the weights. A null text counts as empty (its end is
     its one token), a null key as empty text in the hash. Repeated rows each count. An empty table gives
-    an empty result. A block holds about block_bytes of text (one text at least); a bucket's share of the
-    hashes is that of bucket_bytes of text. Both may grow with the root of the corpus, so that the number
-    of messages, blocks times buckets, stays in proportion to it.
+    an empty result; other columns are not read, whatever their names. A block holds about block_bytes of
+    text (one text at least, however long); a bucket's share of the hashes is that of bucket_bytes of
+    text; both follow from the corpus where they aren't given. weights: BUCKETS rows of three, instead of
+    those that are fitted.
     """
+    own = F.col(f"`{text}`").cast("string")
+    if block_bytes is None or bucket_bytes is None:
+        corpus = df.agg(F.coalesce(F.sum(F.octet_length(own).cast("long") + 8), F.lit(0))).head()[0]
+        block_bytes, bucket_bytes = (given or found for given, found in zip((block_bytes, bucket_bytes), sizes(corpus), strict=True))
     blocks = stage(pack_blocks(df, key, text, held, deleted, block_bytes), "lm-blocks")
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).head()[0]
     pair_buckets = max(4, -(-size // bucket_bytes))
@@ -238,7 +254,9 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", held: tuple[in
     deleted_blocks = blocks.where(F.col("role") == _DELETED)
     events = deleted_blocks.select("block", "meta", "body").groupBy("block").cogroup(answers.where("gone is not null").groupBy("block")).applyInPandas(features, "b long, p long, w long, n long")
     # At most BUCKETS x (64 STEPS + 1)^2 rows, whatever the corpus: a histogram of rounded probabilities.
-    weights = fit_weights([tuple(r) for r in events.groupBy("b", "p", "w").agg(F.sum("n")).collect()], 1 / (n_left + 1))
+    # In one order, so that the sums of the fit don't depend on how the rows were dealt.
+    if weights is None:
+        weights = fit_weights(sorted(tuple(r) for r in events.groupBy("b", "p", "w").agg(F.sum("n")).collect()), 1 / (n_left + 1))
 
     def scored(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows, texts = _open(block["meta"].iloc[0], block["body"].iloc[0])
