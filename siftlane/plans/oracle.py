@@ -106,7 +106,7 @@ def nm(source: str, key: str = "l_partkey, l_suppkey") -> str:
 ROWS = f"""select l_partkey * 1000 + l_suppkey ordinal, {NAME.format('l_partkey')} qname, flag, 'chr' || (l_suppkey % 3 + 1) reference, cast(l_partkey * 10 as bigint) pos, cigar,
     case when l_partkey % 7 = 0 then -1 else l_partkey % 6 end stored_nm, {SUMS.format('I')} i, {SUMS.format('S')} s, plain, free from ({reads()}) join ({nm(reads())}) using (l_partkey, l_suppkey)"""
 COMPARED = f"""with r as ({ROWS}), o as (select ordinal, qname, flag, reference, pos, cigar, plain conventional_nm, free bisulfite_nm, i insertions, s soft_clips, free + i + s score from r),
-a as (select ordinal, qname, flag + case when ordinal % 101 = 0 then 16 else 0 end flag, reference, pos, cigar, free + case when ordinal % 97 = 0 then 1 else 0 end nm, i + case when ordinal % 89 = 0 then 1 else 0 end insertions, s soft_clips, free + i + s + case when ordinal % 83 = 0 then 2 else 0 end score from r where ordinal < 1900000)
+a as (select ordinal, qname, flag + case when ordinal % 101 = 0 then 16 else 0 end flag, reference, pos, cigar, free + case when ordinal % 97 = 0 then 1 else 0 end nm, i + case when ordinal % 89 = 0 then 1 else 0 end insertions, s soft_clips, free + i + s + case when ordinal % 83 = 0 then 2 else 0 end score from r)
 """
 IDENT = "qname, flag, ref_id, pos, cigar"
 ORDER = "l_extendedprice, l_quantity, l_partkey, l_suppkey, l_linenumber"
@@ -135,7 +135,7 @@ SQL: dict[str, str] = {
     "q12_selected_records": f"{WITH} select qname, flag, ref_id, pos, nm, cigar from graft where {PRIMARY} and qname in (select qname from done where classification = 'graft')",
     "q13_mode_validation": "select * from (values ('paired', 'paired-end', 'paired-end', null), ('single', 'single-end', 'single-end', null), ('crossed', 'paired-end', 'single-end', 'graft_and_host_differ')) v(sample_id, graft_mode, host_mode, mode_error)",
     "q14_allowlist_semi": f"{WITH} select side, qname, count(*) n from sides where qname in (select {NAME.format('o_orderkey')} from orders where o_orderkey % 50 = 0) group by all",
-    "q15_score_audit": f"with r as ({ROWS}) select ordinal record_ordinal, qname || '\\t' qname, flag, reference, pos position_0_based, cigar, stored_nm::bigint stored_nm, plain nm, i insertions, s soft_clips, plain + i + s classification_score from r where ordinal < 1000000",
+    "q15_score_audit": f"with r as ({ROWS}) select ordinal record_ordinal, qname || '\\t' qname, flag, reference, pos position_0_based, cigar, stored_nm::bigint stored_nm, plain nm, i insertions, s soft_clips, plain + i + s classification_score from r",
     "q16_membership_counts": f"{WITH}{LEGACY}, m as (select qname, case when qname in (select qname from modern) then 'graft' else 'discarded' end a, case when qname in (select qname from legacy) then 'graft' else 'discarded' end b from original) select a || '/' || b category, count(*) n from m group by all union all select 'modern_selected_not_in_original', count(*) from (select distinct qname from modern) where qname not in (select qname from original) union all select 'legacy_selected_not_in_original', count(*) from (select distinct qname from legacy) where qname not in (select qname from original)",
     "q17_name_digest": f"{WITH} select substr(qname, 1, 8) prefix, count(*) n, sha256(string_agg(qname, chr(10) order by qname) || chr(10)) sha256 from (select distinct qname from prim where side = 'graft') group by all",
     "q18_alignment_profile": f"{WITH} select *, {SHAPE} category from (select side, qname, {PROFILE} from sides group by all)",
