@@ -15,23 +15,45 @@ def _n(condition: Column) -> Column:
     return F.count(F.when(condition, 1)).cast("bigint")
 
 
+def name_flags(original: DataFrame, modern: DataFrame, legacy: DataFrame) -> DataFrame:
+    """One row for each name (qname) of three tables: is_original, is_modern, is_legacy."""
+    names = ("is_original", "is_modern", "is_legacy")
+    rows = None
+    for own, df in zip(names, (original, modern, legacy), strict=True):
+        part = df.select("qname", *[F.lit(n == own).alias(n) for n in names])
+        rows = part if rows is None else rows.unionByName(part)
+    return merge_flags(rows)
+
+
+def merge_flags(rows: DataFrame) -> DataFrame:
+    """One row for each name: each flag that holds in one of its rows."""
+    return rows.groupBy("qname").agg(*[F.bool_or(n).alias(n) for n in ("is_original", "is_modern", "is_legacy")])
+
+
+def _class(flag: str) -> Column:
+    return F.when(F.col(flag), "graft").otherwise("discarded")
+
+
+def membership_of(flags: DataFrame) -> DataFrame:
+    """fragment_id, modern_classification and legacy_classification (graft or discarded) of each original name of merge_flags()."""
+    return flags.where("is_original").select(F.col("qname").alias("fragment_id"), *[_class(f"is_{t}").alias(f"{t}_classification") for t in ("modern", "legacy")])
+
+
 def membership(original: DataFrame, modern: DataFrame, legacy: DataFrame) -> DataFrame:
-    """fragment_id, modern_classification and legacy_classification (graft or discarded) of each distinct original name."""
-    names = original.select(F.col("qname").alias("fragment_id")).distinct()
-    out = names
-    for tool, df in (("modern", modern), ("legacy", legacy)):
-        own = df.select(F.col("qname").alias("fragment_id"), F.lit("graft").alias(f"{tool}_classification")).distinct()
-        out = out.join(own, "fragment_id", "left").withColumn(f"{tool}_classification", F.coalesce(f"{tool}_classification", F.lit("discarded")))
-    return out
+    return membership_of(name_flags(original, modern, legacy))
+
+
+def membership_counts_of(flags: DataFrame) -> DataFrame:
+    """category and n: each pair of classes (modern/legacy), and each tool's selections that are not in the original (also where there are none)."""
+    lost = {t: F.lit(f"{t}_selected_not_in_original") for t in ("modern", "legacy")}
+    found = F.when(F.col("is_original"), F.array(F.concat_ws("/", _class("is_modern"), _class("is_legacy")))).otherwise(F.array_compact(F.array(*[F.when(F.col(f"is_{t}"), name) for t, name in lost.items()])))
+    rows = flags.select(F.explode(found).alias("category"), F.lit(1).alias("n"))
+    none = flags.sparkSession.range(1).select(F.explode(F.array(*lost.values())).alias("category"), F.lit(0).alias("n"))
+    return rows.unionByName(none).groupBy("category").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 def membership_counts(original: DataFrame, modern: DataFrame, legacy: DataFrame) -> DataFrame:
-    """category and n: each pair of classes (modern/legacy), and each tool's selections that are not in the original."""
-    pairs = membership(original, modern, legacy).groupBy(F.concat_ws("/", "modern_classification", "legacy_classification").alias("category")).agg(F.count("*").cast("bigint").alias("n"))
-    for tool, df in (("modern", modern), ("legacy", legacy)):
-        lost = df.select("qname").distinct().join(original.select("qname"), "qname", "left_anti")
-        pairs = pairs.unionByName(lost.agg(F.count("*").cast("bigint").alias("n")).select(F.lit(f"{tool}_selected_not_in_original").alias("category"), "n"))
-    return pairs
+    return membership_counts_of(name_flags(original, modern, legacy))
 
 
 def disagreements(members: DataFrame) -> DataFrame:
@@ -45,30 +67,29 @@ def deterministic_sample(df: DataFrame, size: int, key: Column, *ties: str) -> D
     return df.withColumn("sample_key", key).orderBy("sample_key", *ties).limit(size)
 
 
-def alignment_profile(records: DataFrame, *by: str) -> DataFrame:
-    """Nine counts for each fragment (and the columns in by), and the category of its shape."""
+PROFILE = ("total_records", "paired_records", "unmapped_records", "secondary_records", "supplementary_records", "mapped_primary_records", "first_mate_primary_records", "second_mate_primary_records", "invalid_primary_mate_records")
+
+
+def profile_counts(own: Column | None = None, prefix: str = "") -> list[Column]:
+    """The nine counts of a group's records, or of those for which own holds."""
     flag = F.col("flag")
     bit = lambda b: flag.bitwiseAND(b) != 0
     primary = flag.bitwiseAND(0x904) == 0
-    out = records.groupBy(*by, "qname").agg(
-        F.count("*").cast("bigint").alias("total_records"),
-        _n(bit(0x1)).alias("paired_records"),
-        _n(bit(0x4)).alias("unmapped_records"),
-        _n(bit(0x100)).alias("secondary_records"),
-        _n(bit(0x800)).alias("supplementary_records"),
-        _n(primary).alias("mapped_primary_records"),
-        _n(primary & is_first()).alias("first_mate_primary_records"),
-        _n(primary & is_second()).alias("second_mate_primary_records"),
-        _n(primary & ~is_first() & ~is_second()).alias("invalid_primary_mate_records"),
-    )
-    return out.withColumn("category", shape_category())
+    tests = (F.lit(True), bit(0x1), bit(0x4), bit(0x100), bit(0x800), primary, primary & is_first(), primary & is_second(), primary & ~is_first() & ~is_second())
+    return [_n(t if own is None else own & t).alias(prefix + name) for name, t in zip(PROFILE, tests, strict=True)]
+
+
+def alignment_profile(records: DataFrame, *by: str) -> DataFrame:
+    """Nine counts for each fragment (and the columns in by), and the category of its shape."""
+    return records.groupBy(*by, "qname").agg(*profile_counts()).withColumn("category", shape_category())
 
 
-def shape_category() -> Column:
-    first, second = F.col("first_mate_primary_records"), F.col("second_mate_primary_records")
+def shape_category(prefix: str = "") -> Column:
+    c = lambda name: F.col(f"{prefix}{name}_records")
+    first, second = c("first_mate_primary"), c("second_mate_primary")
     return (
-        F.when(F.col("mapped_primary_records") == 0, "none")
-        .when(F.col("invalid_primary_mate_records") > 0, "invalid_mate_flag")
+        F.when(c("mapped_primary") == 0, "none")
+        .when(c("invalid_primary_mate") > 0, "invalid_mate_flag")
         .when((first > 1) | (second > 1), "duplicate_primary_mate")
         .when((first == 1) & (second == 1), "complete_pair")
         .when(first == 1, "first_mate_only")
@@ -78,12 +99,16 @@ def shape_category() -> Column:
 
 
 def stratify(sample: DataFrame, **inputs: DataFrame) -> DataFrame:
-    """For each name of sample (qname): <input>_category and <input>_primary_records in each input."""
-    out = sample.select("qname").distinct()
+    """For each name of sample (qname): <input>_category and <input>_primary_records in each input.
+
+    Sample and inputs are put under one another and aggregated once by name.
+    """
+    rows = sample.select("qname", F.lit(None).cast("int").alias("flag"), F.lit(None).cast("string").alias("input"))
     for name, df in inputs.items():
-        p = alignment_profile(df).select("qname", F.col("category").alias(f"{name}_category"), F.col("mapped_primary_records").alias(f"{name}_primary_records"))
-        out = out.join(p, "qname", "left").withColumn(f"{name}_category", F.coalesce(f"{name}_category", F.lit("none"))).withColumn(f"{name}_primary_records", F.coalesce(f"{name}_primary_records", F.lit(0).cast("bigint")))
-    return out
+        rows = rows.unionByName(df.select("qname", F.col("flag").cast("int").alias("flag"), F.lit(name).alias("input")))
+    counts = [c for name in inputs for c in profile_counts(F.col("input") == name, f"{name}_")]
+    out = rows.groupBy("qname").agg(F.bool_or(F.col("input").isNull()).alias("asked"), *counts).where("asked")
+    return out.select("qname", *[c for name in inputs for c in (shape_category(f"{name}_").alias(f"{name}_category"), F.col(f"{name}_mapped_primary_records").alias(f"{name}_primary_records"))])
 
 
 def crosstabs(shapes: DataFrame) -> DataFrame:
@@ -102,15 +127,25 @@ def crosstabs(shapes: DataFrame) -> DataFrame:
 def decision_pairs(modern: DataFrame, legacy: DataFrame) -> DataFrame:
     """decision_pair and n for two classified tables of one sample (qname, reason)."""
     both = modern.select("qname", F.col("reason").alias("m")).join(legacy.select("qname", F.col("reason").alias("l")), "qname")
-    return both.groupBy(F.concat(F.lit("modern="), "m", F.lit(";legacy="), "l").alias("decision_pair")).agg(F.count("*").cast("bigint").alias("n"))
+    return decision_counts(both, F.col("m"), F.col("l"))
+
+
+def decision_counts(rows: DataFrame, modern: Column, legacy: Column) -> DataFrame:
+    """decision_pair and n, where both reasons come from one row."""
+    return rows.groupBy(F.concat(F.lit("modern="), modern, F.lit(";legacy="), legacy).alias("decision_pair")).agg(F.count("*").cast("bigint").alias("n"))
 
 
 def host_absent_transitions(modern: DataFrame, legacy: DataFrame) -> DataFrame:
-    """transition and n, by falling n then name, for fragments without host scores: tables of (qname, first, second, host_absent)."""
-    text = lambda t, x: F.concat(F.lit(f"{t}_scores="), F.col(f"{x}.first").cast("string"), F.lit(","), F.col(f"{x}.second").cast("string"))
-    both = modern.where("host_absent").alias("m").join(legacy.where("host_absent").alias("l"), "qname")
-    out = both.groupBy(F.concat(text("modern", "m"), F.lit(";"), text("legacy", "l")).alias("transition")).agg(F.count("*").cast("bigint").alias("n"))
-    return out.orderBy(F.desc("n"), "transition")
+    """transition and n, for fragments without host scores: tables of (qname, first, second, host_absent). Reports list them by falling n, then name."""
+    side = lambda df, t: df.where("host_absent").select("qname", F.struct("first", "second").alias(t))
+    both = side(modern, "m").join(side(legacy, "l"), "qname")
+    return transition_counts(both, (F.col("m.first"), F.col("m.second")), (F.col("l.first"), F.col("l.second")))
+
+
+def transition_counts(rows: DataFrame, modern: tuple[Column, Column], legacy: tuple[Column, Column]) -> DataFrame:
+    """transition and n, where the mates' scores of both tools come from one row."""
+    text = lambda t, x: F.concat(F.lit(f"{t}_scores="), x[0].cast("string"), F.lit(","), x[1].cast("string"))
+    return rows.groupBy(F.concat(text("modern", modern), F.lit(";"), text("legacy", legacy)).alias("transition")).agg(F.count("*").cast("bigint").alias("n"))
 
 
 def confusion(truth: DataFrame, selected: DataFrame, graft: str = "human", *by: str) -> DataFrame:

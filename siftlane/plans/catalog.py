@@ -113,16 +113,15 @@ def q15_score_audit(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("qname", text.tsv_escape(F.concat("qname", F.lit("\t"))))
 
 
-def selections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Original graft names, and the names selected at either threshold; the second has some unknown ones."""
-    rows = fragments(spark, sf)
-    pick = lambda t: f.classify_paired(rows, t, PENALTY).where("classification = 'graft'").select("qname")
-    extra = d.table(spark, sf, "nation").selectExpr("concat('N', n_nationkey) as qname")
-    return rows.where("n_g > 0").select("qname"), pick(THRESHOLD), pick(LEGACY_THRESHOLD).unionByName(extra)
+def selections(spark: SparkSession, sf: str) -> DataFrame:
+    """qname, is_original, is_modern and is_legacy, several rows for a name: graft names, and those selected at either threshold; the second selects some unknown ones."""
+    graft = lambda t: f.paired_reason(t, PENALTY).startswith("graft")
+    rows = fragments(spark, sf).select("qname", (F.col("n_g") > 0).alias("is_original"), graft(THRESHOLD).alias("is_modern"), graft(LEGACY_THRESHOLD).alias("is_legacy"))
+    return rows.unionByName(d.table(spark, sf, "nation").selectExpr("concat('N', n_nationkey) as qname", "false as is_original", "false as is_modern", "true as is_legacy"))
 
 
 def q16_membership_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return e.membership_counts(*selections(spark, sf))
+    return e.membership_counts_of(e.merge_flags(selections(spark, sf)))
 
 
 def q17_name_digest(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,11 +139,16 @@ def q18b_alignment_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q18c_shape_crosstabs(spark: SparkSession, sf: str) -> DataFrame:
-    original, modern, legacy = selections(spark, sf)
-    graft, host = d.alignments(spark, sf, "graft"), d.alignments(spark, sf, "host")
-    primary = d.primary_only(graft)
-    shapes = e.stratify(original, original_graft=graft, original_host=host, modern_filtered=primary.join(modern, "qname", "left_semi"), legacy_filtered=primary.join(legacy, "qname", "left_semi"))
-    return e.crosstabs(shapes)
+    """Records and selections are aggregated once by name; a tool's filtered records are the primary graft records of what it selects."""
+    flags = ("is_original", "is_modern", "is_legacy")
+    records = both_sides(spark, sf).select("qname", "flag", "side", score.primary_mapped().alias("primary"))
+    picked = selections(spark, sf).where(" or ".join(flags))
+    rows = records.unionByName(picked, allowMissingColumns=True)
+    graft = F.col("side") == "graft"
+    inputs = {"original_graft_": graft, "original_host_": F.col("side") == "host", "filtered_": graft & F.col("primary")}
+    shapes = rows.groupBy("qname").agg(*[F.bool_or(n).alias(n) for n in flags], *[c for name, own in inputs.items() for c in e.profile_counts(own, name)]).where("is_original")
+    filtered = lambda flag: F.when(F.col(flag), e.shape_category("filtered_")).otherwise("none")
+    return e.crosstabs(shapes.select(*[e.shape_category(f"{n}_").alias(f"{n}_category") for n in ("original_graft", "original_host")], filtered("is_modern").alias("modern_filtered_category"), filtered("is_legacy").alias("legacy_filtered_category")))
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,14 +156,12 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q19_decision_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence(spark, sf)
-    return e.decision_pairs(rows.withColumn("reason", f.paired_reason(THRESHOLD, PENALTY)), rows.withColumn("reason", f.paired_reason(LEGACY_THRESHOLD, PENALTY, "mean")))
+    return e.decision_counts(evidence(spark, sf), f.paired_reason(THRESHOLD, PENALTY), f.paired_reason(LEGACY_THRESHOLD, PENALTY, "mean"))
 
 
 def q20_host_absent_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evidence(spark, sf)
-    side = lambda p: rows.select("qname", f.mate_score("g", 1, p).alias("first"), f.mate_score("g", 2, p).alias("second"), (F.col("n_h") == 0).alias("host_absent"))
-    return e.host_absent_transitions(side(8), side(10))
+    mates = lambda p: (f.mate_score("g", 1, p), f.mate_score("g", 2, p))
+    return e.transition_counts(evidence(spark, sf).where("n_h = 0"), mates(8), mates(10))
 
 
 def truth(rows: DataFrame, *keep: str) -> DataFrame:
@@ -297,7 +299,7 @@ def q37_record_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q38_unknown_selected(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, legacy = selections(spark, sf)
+    legacy = selections(spark, sf).where("is_legacy")
     return e.unknown_selected(truth(fragments(spark, sf)), legacy.selectExpr("qname as fragment_id"))
 
 

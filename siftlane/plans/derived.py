@@ -25,20 +25,17 @@ def name_of(column: str) -> str:
 
 
 def alignments(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """qname, flag, ref_id, pos, nm, cigar, mapq and the summed insertions and soft clips.
-
-    The sums are written as arithmetic of the CIGAR's choice, as they would be staged with the
-    records, so that the hot path stays in generated code; score.plain_score reads raw CIGARs.
-    """
+    """qname, flag, ref_id, pos, nm, cigar and mapq, and the columns that they come from."""
     where, nm, choice = SIDES[side]
     return table(spark, sf_dir, "lineitem").where(where).selectExpr(
         f"{name_of('l_orderkey')} as qname", f"cast({FLAG} as int) as flag", "case when l_linenumber = 5 then -1 else cast(l_suppkey % 3 as int) end as ref_id", "cast(l_partkey * 10 as bigint) as pos",
-        f"cast({nm} as bigint) as nm", f"{CIGAR.format(choice)} as cigar", "cast(l_suppkey % 61 as int) as mapq", f"cast(case {choice} when 0 then 1 when 1 then 1 else 0 end as bigint) as clipped", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        f"cast({nm} as bigint) as nm", f"{CIGAR.format(choice)} as cigar", "cast(l_suppkey % 61 as int) as mapq", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     )
 
 
 def scored(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    return alignments(spark, sf_dir, side).withColumn("score", F.col("nm") + F.col("clipped"))
+    """Records with the plain score, read from their tag and their CIGAR."""
+    return alignments(spark, sf_dir, side).withColumn("score", score.plain_score())
 
 
 def single_end(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:

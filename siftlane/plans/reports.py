@@ -36,7 +36,7 @@ def mixture_report(truth: DataFrame, tools: dict[str, DataFrame], graft: str = "
 
 
 def decision_report(modern: DataFrame, legacy: DataFrame, transitions: DataFrame, threshold: int, penalty: int) -> dict:
-    return {"schema_version": "decisions/v1", "threshold": threshold, "unmapped_penalty": penalty, "decision_pairs": counts_of(e.decision_pairs(modern, legacy), "decision_pair"), "host_absent_score_transitions": {r.transition: r.n for r in transitions.collect()}}
+    return {"schema_version": "decisions/v1", "threshold": threshold, "unmapped_penalty": penalty, "decision_pairs": counts_of(e.decision_pairs(modern, legacy), "decision_pair"), "host_absent_score_transitions": {r.transition: r.n for r in transitions.orderBy(F.desc("n"), "transition").collect()}}
 
 
 def gradient_report(observed: DataFrame, expected: DataFrame, tolerance: float = 0.5, large: float = 2.0) -> dict:
