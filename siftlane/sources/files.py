@@ -7,7 +7,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlane import schema
@@ -25,6 +25,30 @@ def read_table(spark: SparkSession, path: str, columns: str, exact: bool = True)
     return spark.read.csv(path, sep="\t", header=True, schema=full, mode="FAILFAST", quote="").select(*wanted)
 
 
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a TSV file."""
+    first = spark.read.text(path).limit(1).collect()
+    return first[0][0].split("\t") if first else []
+
+
+def numbered(df: DataFrame, path: str) -> DataFrame:
+    """df with row_number, from 1, by the rows' places in the file that it was read from.
+
+    Rows are counted by block of the file, and blocks added up: no global sort of the rows.
+    """
+    if os.path.isdir(path):
+        raise ValueError(f"{path}: rows of a folder have no order")
+    own = df.select("*", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    starts = own.groupBy("block").agg(F.count("*").alias("n"), F.min("line").alias("least"))  # one row for each block of the file
+    starts = starts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return own.join(F.broadcast(starts), "block").withColumn("row_number", F.col("before") + F.col("line") - F.col("least") + 1).select("row_number", *df.columns)
+
+
+def write_names(names: DataFrame, path: str) -> None:
+    """Names (qname), distinct and sorted, one on each line: a list that read_names reads."""
+    names.select("qname").distinct().orderBy("qname").write.mode("errorifexists").text(path)
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """fragment_id and known_source; blank ids, unknown sources, repeated ids and no rows at all are errors."""
     df = read_table(spark, path, schema.TRUTH, exact=False)
