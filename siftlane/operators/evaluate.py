@@ -60,6 +60,11 @@ def disagreements(members: DataFrame) -> DataFrame:
     return members.where("modern_classification <> legacy_classification")
 
 
+def sample_disagreements(rows: DataFrame, wanted: str, size: int, key: Column) -> DataFrame:
+    """Of disagreements (fragment_id and both classifications) those of one kind, as modern/legacy; and of these the `size` with the smallest keys."""
+    return deterministic_sample(rows.where(F.concat_ws("/", "modern_classification", "legacy_classification") == wanted), size, key, "fragment_id")
+
+
 def deterministic_sample(df: DataFrame, size: int, key: Column, *ties: str) -> DataFrame:
     """The rows with the `size` smallest keys: kept by a bounded heap in each task."""
     if size <= 0:
@@ -233,13 +238,8 @@ def occurrence_join(left: DataFrame, right: DataFrame, identity: Sequence[str],
 IDENTITY = ("qname", "flag", "reference", "position_0_based", "cigar")
 
 
-def positional_compare(oracle: DataFrame, audit: DataFrame, bisulfite: bool = True) -> DataFrame:
-    """category, n and first_row for two tables whose rows go together by row_number.
-
-    Of a row's identity fields the first that differs counts, and so of its score fields; the score
-    itself counts besides. Where one table ends, the first row without a partner is record_count, and
-    nothing after it is compared.
-    """
+def _differences(oracle: DataFrame, audit: DataFrame, bisulfite: bool) -> DataFrame:
+    """row_number, categories in the order in which they are looked for, and both rows (o, a); nothing after the first row without a partner."""
     o = oracle.select("row_number", F.struct("*").alias("o"))
     a = audit.select("row_number", F.struct("*").alias("a"))
     both = o.join(a, "row_number", "full_outer")
@@ -253,20 +253,37 @@ def positional_compare(oracle: DataFrame, audit: DataFrame, bisulfite: bool = Tr
     total = F.when(~expected.eqNullSafe(F.col("a.classification_score")), "score:classification_score")
     alone = F.col("o").isNull() | F.col("a").isNull()
     found = F.when(alone, F.array(F.lit("record_count"))).otherwise(F.array_compact(F.array(identity, score, total)))
-    rows = both.select("row_number", F.explode(found).alias("category"))
+    return both.select("row_number", found.alias("categories"), "o", "a")
+
+
+def positional_compare(oracle: DataFrame, audit: DataFrame, bisulfite: bool = True) -> DataFrame:
+    """category, n and first_row for two tables whose rows go together by row_number.
+
+    Of a row's identity fields the first that differs counts, and so of its score fields; the score
+    itself counts besides. Where one table ends, the first row without a partner is record_count, and
+    nothing after it is compared.
+    """
+    rows = _differences(oracle, audit, bisulfite).select("row_number", F.explode("categories").alias("category"))
     return rows.groupBy("category").agg(F.count("*").cast("bigint").alias("n"), F.min("row_number").cast("bigint").alias("first_row"))
 
 
+def first_difference(oracle: DataFrame, audit: DataFrame, bisulfite: bool = True) -> DataFrame:
+    """row_number, category and both rows (o, a) of the first difference; no row if the tables are equal."""
+    rows = _differences(oracle, audit, bisulfite).where(F.size("categories") > 0)
+    return rows.agg(F.min_by(F.struct("row_number", F.col("categories")[0].alias("category"), "o", "a"), "row_number").alias("x")).where("x is not null").select("x.*")
+
+
 def delta_histogram(joined: DataFrame, label: Column, value: str, against: dict[str, str]) -> DataFrame:
     """label, delta (name:difference) and n of value minus each column of against."""
     cells = F.array(*[F.concat(F.lit(f"{name}:"), (F.col(value) - F.col(c)).cast("string")) for name, c in against.items()])
     return joined.select(label.alias("label"), F.explode(cells).alias("delta")).groupBy("label", "delta").agg(F.count("*").cast("bigint").alias("n"))
 
 
-def nm_categories(original: DataFrame, oracle: DataFrame, audit: DataFrame, bisulfite: bool = True, **tools: DataFrame) -> DataFrame:
-    """record_ordinal and categories (sorted, distinct) of the original records that differ from the evidence.
+def nm_evidence(original: DataFrame, oracle: DataFrame, audit: DataFrame, bisulfite: bool = True, **tools: DataFrame) -> DataFrame:
+    """The original records with the evidence about each: o and a, <tool>_nm and <tool>_there, and the sorted categories in which they differ.
 
-    original: record_ordinal and the identity; oracle, audit: by record_ordinal; tools: identity, ordinal and stored_nm.
+    original: record_ordinal and the identity; oracle, audit: by record_ordinal; tools: identity, ordinal
+    and stored_nm. Of a tool only records whose identity the original has are numbered and joined.
     """
     nm = "bisulfite_nm" if bisulfite else "conventional_nm"
     out = original.join(oracle.select("record_ordinal", F.struct("*").alias("o")), "record_ordinal", "left").join(audit.select("record_ordinal", F.struct("*").alias("a")), "record_ordinal", "left")
@@ -275,9 +292,51 @@ def nm_categories(original: DataFrame, oracle: DataFrame, audit: DataFrame, bisu
     found += [F.when(both & ~F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")), f"audit_oracle_identity:{c}") for c in IDENTITY]
     found.append(F.when(both & (F.col("a.nm") != F.col(f"o.{nm}")), "audit_vs_oracle_selected_nm"))
     for label, df in tools.items():
-        renamed = df.select(*IDENTITY, "ordinal", F.col("stored_nm").alias(f"{label}_nm"))
+        renamed = known_identities(df.select(*IDENTITY, "ordinal", F.col("stored_nm").alias(f"{label}_nm")), original)
         out = occurrence_join(out.withColumn("ordinal", F.col("record_ordinal")), renamed, IDENTITY, [f"{label}_nm"]).drop("occurrence", "ordinal").withColumnRenamed("matched", f"{label}_there")
         v = F.col(f"{label}_nm")
         found.append(F.when(~F.col(f"{label}_there"), f"{label}:missing"))
         found += [F.when(F.col(f"{label}_there") & both & (v != F.col(c)), f"{label}:{n}") for n, c in (("vs_oracle_conventional_nm", "o.conventional_nm"), ("vs_oracle_bisulfite_nm", "o.bisulfite_nm"), ("vs_audit_nm", "a.nm"))]
-    return out.select("record_ordinal", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("categories")).where(F.size("categories") > 0)
+    return out.withColumn("categories", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))))
+
+
+def known_identities(df: DataFrame, universe: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
+    """The records whose identity a universe has."""
+    return df.join(universe.select(*identity).distinct(), list(identity), "left_semi")
+
+
+def nm_categories(original: DataFrame, oracle: DataFrame, audit: DataFrame, bisulfite: bool = True, **tools: DataFrame) -> DataFrame:
+    """record_ordinal and categories of the original records that differ from the evidence."""
+    return nm_evidence(original, oracle, audit, bisulfite, **tools).where(F.size("categories") > 0).select("record_ordinal", "categories")
+
+
+def nm_tool_counts(evidence: DataFrame, *tools: str) -> DataFrame:
+    """tool, expected, observed and missing records, whether the tool has just as many (identity_equals_original), and how many distances are equal to each of the oracle's."""
+    both = F.col("o").isNotNull() & F.col("a").isNotNull()
+    cells = [F.struct(F.lit(t).alias("tool"), F.col(f"{t}_there").alias("there"), F.when(both, F.col(f"{t}_nm")).alias("v")) for t in tools]
+    rows = evidence.select("o", F.explode(F.array(*cells)).alias("x"))
+    equal = lambda c: _n(F.col("x.v") == F.col(f"o.{c}")).alias(f"{c}_equal")
+    out = rows.groupBy(F.col("x.tool").alias("tool")).agg(F.count("*").cast("bigint").alias("expected"), _n(F.col("x.there")).alias("observed"), equal("conventional_nm"), equal("bisulfite_nm"))
+    return out.withColumn("missing", F.col("expected") - F.col("observed")).withColumn("identity_equals_original", F.col("missing") == 0)
+
+
+def nm_deltas(evidence: DataFrame, *tools: str) -> DataFrame:
+    """tool, delta (against:difference) and n of the tools' distances minus the oracle's."""
+    both = F.col("o").isNotNull() & F.col("a").isNotNull()
+    cells = [F.when(both & F.col(f"{t}_there"), F.struct(F.lit(t).alias("tool"), F.concat(F.lit(f"vs_oracle_{k}:"), (F.col(f"{t}_nm") - F.col(f"o.{k}_nm")).cast("string")).alias("delta"))) for t in tools for k in ("conventional", "bisulfite")]
+    return evidence.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).groupBy("x.tool", "x.delta").agg(F.count("*").cast("bigint").alias("n"))
+
+
+def same_selection(a: DataFrame, b: DataFrame, key: str = "qname") -> DataFrame:
+    """One row: in_both, only_in_first and only_in_second names, and whether the selections are equal."""
+    tag = lambda df, x, y: df.select(key, F.lit(x).alias("x"), F.lit(y).alias("y"))
+    rows = tag(a, True, False).unionByName(tag(b, False, True)).groupBy(key).agg(F.bool_or("x").alias("x"), F.bool_or("y").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return rows.agg(_n(x & y).alias("in_both"), _n(x & ~y).alias("only_in_first"), _n(~x & y).alias("only_in_second")).withColumn("equal", (F.col("only_in_first") == 0) & (F.col("only_in_second") == 0))
+
+
+def status_tally(cells: DataFrame) -> DataFrame:
+    """outcome and n of the three statuses, those that don't occur too."""
+    rows = cells.where("status is not null").select(F.col("status").alias("outcome"), F.lit(1).alias("n"))
+    none = cells.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("within_range", "deviation", "large_deviation")))).alias("outcome"), F.lit(0).alias("n"))
+    return rows.unionByName(none).groupBy("outcome").agg(F.sum("n").cast("bigint").alias("n"))

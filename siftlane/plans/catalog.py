@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlane.config import Config
 from siftlane.functions import score, text
 from siftlane.operators import evaluate as e
 from siftlane.operators import fragments as f
 from siftlane.plans import derived as d
-from siftlane.plans.sample import score_audit
+from siftlane.plans.reports import sample_rows, stratify_report
+from siftlane.plans.sample import named_references, score_audit, with_score
 from siftlane.sources.fasta import fetch_windows
 
 THRESHOLD, PENALTY, LEGACY_THRESHOLD = 4, 8, 3
@@ -325,4 +327,106 @@ def q41_audit_categories(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.explode("categories").alias("category")).groupBy("category").agg(big("*").alias("n"))
 
 
+def q17b_global_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return text.names_digest_all(d.primary_only(d.alignments(spark, sf, "graft")))
+
+
+def q42_status_tally(spark: SparkSession, sf: str) -> DataFrame:
+    return e.status_tally(q25_gradient_status(spark, sf))
+
+
+def q43_disagreement_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Fifty fragments that only the modern selection has, and their shapes in four inputs."""
+    flags = e.merge_flags(selections(spark, sf))
+    graft, host = d.alignments(spark, sf, "graft"), d.alignments(spark, sf, "host")
+    filtered = lambda flag: d.primary_only(graft).join(flags.where(flag), "qname", "left_semi")
+    inputs = {"original_graft": graft, "original_host": host, "modern_filtered": filtered("is_modern"), "legacy_filtered": filtered("is_legacy")}
+    shapes, _ = stratify_report(e.disagreements(e.membership_of(flags)), "graft/discarded", 50, F.sha2(F.concat(F.lit("seed:"), "fragment_id"), 256), inputs)
+    return sample_rows(shapes, *inputs)
+
+
+def q44_score_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The reason for which each record can't be scored: each of twelve is planted in one record of thirteen."""
+    rows = read_rows(spark, sf).withColumn("k", F.expr("ordinal % 13"))
+    bad = {"cigar": "case k when 0 then '*' when 1 then 'M50' when 2 then '20M5B25M' when 3 then '0M50M' when 4 then '50S' when 9 then '51M' when 11 then '49M' else '50M' end", "window": "case k when 5 then null when 10 then substr(window, 1, 10) else window end", "ref_id": "case when k = 6 then -1 else ref_id end", "pos": "case when k = 7 then -1L else pos end", "seq": "case when k = 8 then '' else substr(concat(seq, repeat('A', 50)), 1, 50) end"}
+    return rows.withColumns({c: F.expr(x) for c, x in bad.items()}).select("ordinal", score.reference_error().alias("error"))
+
+
+def q45_tag_errors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = d.alignments(spark, sf, "graft").selectExpr("case l_partkey % 4 when 0 then null else nm end as nm", "case l_partkey % 4 when 0 then null when 1 then 'Z' else 'int' end as nm_type")
+    return rows.groupBy(score.tag_error().alias("error")).agg(big("*").alias("n"), F.sum("nm").cast("bigint").alias("total"))
+
+
+def q46_memory_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.concat((F.col("o_orderkey") % 3000).cast("string"), F.element_at(F.array(*map(F.lit, ("", "K", "M", "g", "T", "X", "kb", " MB"))), (F.col("o_custkey") % 8 + 1).cast("int")))
+    return d.table(spark, sf, "orders").select("o_orderkey", asked.alias("asked")).withColumn("bytes", text.memory_bytes("asked"))
+
+
+def q47_reference_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Contig names by id, of a header that has two of the ids."""
+    header = spark.range(2).selectExpr("cast(id as int) as ref_id", "concat('chr', id + 1) as ref_name")
+    rows = named_references(d.alignments(spark, sf, "graft"), F.broadcast(header))
+    return rows.groupBy("ref_id", "ref_name", F.col("reference_error").alias("error")).agg(big("*").alias("n"))
+
+
+def rescored(spark: SparkSession, sf: str, mode: str, where: str = "true") -> DataFrame:
+    """Fragments of records whose distances are computed against the reference."""
+    settings = Config(THRESHOLD, PENALTY, mode=mode, graft_reference="graft.fa", host_reference="host.fa")
+    return f.build_fragments(f.union_sides(*(with_score(d.windowed(spark, sf, side).where(where), settings) for side in ("graft", "host"))))
+
+
+def q48_paired_recomputed(spark: SparkSession, sf: str) -> DataFrame:
+    return f.classify_paired(rescored(spark, sf, "recompute"), THRESHOLD, PENALTY).groupBy("reason", "classification", "error").agg(big("*").alias("n"))
+
+
+def q49_single_bisulfite(spark: SparkSession, sf: str) -> DataFrame:
+    """Single-end rules over the first mates, without the conversions of bisulfite."""
+    return f.classify_single(rescored(spark, sf, "bisulfite", "(flag & 192) = 64"), THRESHOLD).groupBy("reason", "classification", "error").agg(big("*").alias("n"))
+
+
+def q50_unknown_cells(spark: SparkSession, sf: str) -> DataFrame:
+    rows = q23_parameter_grid(spark, sf).select(F.col("label").alias("cell"))
+    return e.unknown_cells(rows, rows.where("cell not like 't6%'"))
+
+
+def nm_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    oracle, audit = compared(spark, sf)
+    tool = oracle.where("record_ordinal % 11 <> 0").selectExpr("record_ordinal as ordinal", *e.IDENTITY, "conventional_nm as stored_nm")
+    return e.nm_evidence(oracle.select("record_ordinal", *e.IDENTITY), oracle, audit, tool=tool)
+
+
+def q51_tool_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return e.nm_tool_counts(nm_evidence(spark, sf), "tool")
+
+
+def q52_tool_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return e.nm_deltas(nm_evidence(spark, sf), "tool")
+
+
+def q53_first_difference(spark: SparkSession, sf: str) -> DataFrame:
+    out = e.first_difference(*compared(spark, sf))
+    return out.select("row_number", "category", F.col("o.qname").alias("qname"), F.col("o.classification_score").alias("expected"), F.col("a.classification_score").alias("found"))
+
+
+def q54_same_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The selections at two thresholds, and at two penalties."""
+    pick = lambda t, p: fragments(spark, sf).where(f.paired_reason(t, p).startswith("graft")).select("qname")
+    thresholds = e.same_selection(pick(THRESHOLD, PENALTY), pick(LEGACY_THRESHOLD, PENALTY)).withColumn("between", F.lit("thresholds"))
+    return thresholds.unionByName(e.same_selection(pick(THRESHOLD, PENALTY), pick(THRESHOLD, 12)).withColumn("between", F.lit("penalties")))
+
+
+METRICS = ("accuracy", "sensitivity", "specificity", "precision", "npv", "fpr", "fnr", "balanced_accuracy", "f1")
+
+
+def q55_replicate_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and standard deviation of all metrics over replicates, by parameters."""
+    out = e.replicate_stats(e.metrics(grid_confusion(spark, sf, "replicate")), ["t", "p"], METRICS)
+    return out.select("t", "p", "n", *[F.round(f"{m}_{s}", 9).alias(f"{m}_{s}") for m in METRICS for s in ("mean", "sd")])
+
+
+def q56_identity_keys(spark: SparkSession, sf: str) -> DataFrame:
+    rows = e.with_occurrence(d.alignments(spark, sf, "graft").withColumn("ordinal", F.struct("l_extendedprice", "l_quantity", "l_partkey", "l_suppkey", "l_linenumber")), IDENTITY)
+    return rows.select(text.identity_key(*IDENTITY, "occurrence").alias("identity_key"), "nm")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for k, v in list(globals().items()) if k.startswith("q") and k[1:3].isdigit()}

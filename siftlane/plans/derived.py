@@ -52,5 +52,16 @@ def reads(spark: SparkSession, sf_dir: str, base: str = "T") -> DataFrame:
     return rows.selectExpr("l_partkey", "l_suppkey", "window", "cigar", "xg", "flag", f"concat(substr(s0, 1, m - 1), '{base}', substr(s0, m + 1)) as seq")
 
 
+def windowed(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """Records with their read, the reference's bases and an XG tag, one for each line item: one or two bases are changed."""
+    where, _, choice = SIDES[side]
+    rows = table(spark, sf_dir, "lineitem").where(where).selectExpr(
+        f"{name_of('l_orderkey')} as qname", f"cast({FLAG} as int) as flag", "case when l_linenumber = 5 then -1 else cast(l_suppkey % 3 as int) end as ref_id", "cast(l_partkey * 10 as bigint) as pos", f"{CIGAR.format(choice)} as cigar", f"{choice} as choice",
+        "substr(repeat('ACGTTGCACCGGATTA', 6), cast(1 + l_partkey % 16 as int), 60) as window", "cast(2 + l_suppkey % 20 as int) as m", "cast(24 + l_partkey % 20 as int) as m2", "case when l_partkey % 10 = 0 then null when l_suppkey % 3 = 0 then 'GA' else 'CT' end as xg",
+    )
+    rows = rows.withColumn("s0", F.expr("case choice when 0 then concat('N', substr(window, 1, 49)) when 1 then concat(substr(window, 1, 20), 'G', substr(window, 21, 29)) when 2 then concat(substr(window, 1, 30), substr(window, 33, 20)) else substr(window, 1, 50) end"))
+    return rows.selectExpr("qname", "flag", "ref_id", "pos", "cigar", "window", "xg", "concat(substr(s0, 1, m - 1), 'T', substr(s0, m + 1, m2 - m - 1), 'A', substr(s0, m2 + 1)) as seq", "cast(null as bigint) as nm", "cast(null as string) as nm_type")
+
+
 def primary_only(df: DataFrame) -> DataFrame:
     return df.where(score.primary_mapped())

@@ -54,7 +54,7 @@ SHAPE = """case when mapped_primary_records = 0 then 'none' when invalid_primary
 
 
 def shapes(table: str) -> str:
-    return f"(select qname, {SHAPE} category from (select qname, {PROFILE} from {table} group by qname))"
+    return f"(select qname, mapped_primary_records p, {SHAPE} category from (select qname, {PROFILE} from {table} group by qname))"
 
 
 CROSSTAB = f"""{WITH}{LEGACY}, mod_rec as (select * from graft where {PRIMARY} and qname in (select qname from modern)), leg_rec as (select * from graft where {PRIMARY} and qname in (select qname from legacy)),
@@ -120,6 +120,45 @@ k as (select case when n_g > 1 or n_h > 1 then 'discarded_ambiguous' when n_g =
 select reason, {cls()} classification, count(*) n from k group by all"""
 METRICS25 = f"select label cell, unnest(['sensitivity', 'specificity', 'precision']) metric, unnest([sensitivity, specificity, \"precision\"]) v from ({rates(grid())})"
 
+SAMPLED = f"""{WITH}{LEGACY}, mod_rec as (select * from graft where {PRIMARY} and qname in (select qname from modern)), leg_rec as (select * from graft where {PRIMARY} and qname in (select qname from legacy)),
+s as (select qname from original where qname in (select qname from modern) and qname not in (select qname from legacy) order by sha256('seed:' || qname), qname limit 50)
+select qname fragment_id, coalesce(a.category, 'none') original_graft_category, coalesce(b.category, 'none') original_host_category, coalesce(c.category, 'none') modern_filtered_category, coalesce(e.category, 'none') legacy_filtered_category,
+  coalesce(a.p, 0) original_graft_primary_records, coalesce(b.p, 0) original_host_primary_records, coalesce(c.p, 0) modern_filtered_primary_records, coalesce(e.p, 0) legacy_filtered_primary_records
+from s left join {shapes('graft')} a using (qname) left join {shapes('host')} b using (qname) left join {shapes('mod_rec')} c using (qname) left join {shapes('leg_rec')} e using (qname)"""
+ERRORS = f"""with r as (select l_partkey * 1000 + l_suppkey ordinal, (l_partkey * 1000 + l_suppkey) % 13 k, cast(l_partkey * 10 as bigint) p, l_suppkey % 3 ref, flag f, win w, substr(seq || repeat('A', 50), 1, 50) q from ({reads()})),
+b as (select ordinal, case k when 0 then '*' when 1 then 'M50' when 2 then '20M5B25M' when 3 then '0M50M' when 4 then '50S' when 9 then '51M' when 11 then '49M' else '50M' end cigar, case k when 5 then null when 10 then substr(w, 1, 10) else w end win,
+  case when k = 6 then -1 else ref end ref, case when k = 7 then -1 else p end pos, case when k = 8 then '' else q end seq, f from r),
+c as (select *, {SUMS.format('MDN=X')} span, {SUMS.format('MIS=X')} used from b)
+select ordinal, case when cigar in ('*', '') then 'empty_cigar' when not regexp_full_match(cigar, '([0-9]+[A-Z=])+') then 'invalid_cigar' when not regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') then 'unsupported_operation'
+  when regexp_matches(cigar, '(^|[A-Z=])0+[A-Z=]') then 'invalid_length' when span = 0 then 'no_reference_bases' when win is null then 'reference_not_found' when ref < 0 or (f & 4) > 0 then 'unmapped' when pos < 0 then 'negative_position'
+  when length(seq) = 0 then 'empty_sequence' when used > length(seq) then 'beyond_read' when span > length(win) then 'beyond_reference' when used <> length(seq) then 'unused_bases' end error from c"""
+
+
+def windowed(side: str) -> str:
+    where, _, choice = SIDES[side]
+    return f"""select id, side, qname, flag, ref_id, cigar, win, xg, substr(s0, 1, m - 1) || 'T' || substr(s0, m + 1, m2 - m - 1) || 'A' || substr(s0, m2 + 1) seq from (
+      select *, case choice when 0 then 'N' || substr(win, 1, 49) when 1 then substr(win, 1, 20) || 'G' || substr(win, 21, 29) when 2 then substr(win, 1, 30) || substr(win, 33, 20) else substr(win, 1, 50) end s0 from (
+        select l_orderkey * 10 + l_linenumber id, '{side}' side, {NAME.format('l_orderkey')} qname, cast({FLAG} as int) flag, case when l_linenumber = 5 then -1 else cast(l_suppkey % 3 as int) end ref_id, {CIGAR.format(choice)} cigar, {choice} choice,
+          substr(repeat('ACGTTGCACCGGATTA', 6), cast(1 + l_partkey % 16 as int), 60) win, cast(2 + l_suppkey % 20 as int) m, cast(24 + l_partkey % 20 as int) m2, case when l_partkey % 10 = 0 then null when l_suppkey % 3 = 0 then 'GA' else 'CT' end xg from lineitem where {where}))"""
+
+
+def rescored(kind: str, where: str = "true") -> str:
+    """Fragments' sums with scores computed against the reference; ends in amb."""
+    both = " union all ".join(f"select * from ({windowed(side)}) where {PRIMARY} and {where}" for side in SIDES)
+    frag = WITH[WITH.index("frag as ("):WITH.index(", done as")]
+    return f"with w as ({both}), found as ({nm('select * from w', 'id, side')}), prim as (select side, qname, flag, {kind} + {SUMS.format('IS')} score from w join found using (id, side)), {frag}"
+
+
+SINGLE_REASON = """case when n_g > 1 or n_h > 1 then 'discarded_ambiguous' when n_g = 0 then 'host_graft_absent' when g1 >= 4 then 'discarded_threshold' when n_h = 0 then 'graft_host_absent' when g1 < h1 then 'graft_better' when g1 > h1 then 'host_better' else 'discarded_tie' end"""
+EVIDENCE = f"""{COMPARED}, o2 as (select *, row_number() over (partition by qname, flag, reference, pos, cigar order by ordinal) k from o), t as (select qname, flag, reference, pos, cigar, conventional_nm v, row_number() over (partition by qname, flag, reference, pos, cigar order by ordinal) k from o where ordinal % 11 <> 0),
+b as (select o2.*, t.v from o2 left join t on (o2.qname, o2.flag, o2.reference, o2.pos, o2.cigar, o2.k) = (t.qname, t.flag, t.reference, t.pos, t.cigar, t.k))"""
+METRICS = ("accuracy", "sensitivity", "specificity", "precision", "npv", "fpr", "fnr", "balanced_accuracy", "f1")
+
+
+def same(a: str, b: str, name: str) -> str:
+    return f"select count(*) filter (x and y) in_both, count(*) filter (x and not y) only_in_first, count(*) filter (y and not x) only_in_second, bool_and(x = y) equal, '{name}' \"between\" from (select {a} like 'graft%' x, {b} like 'graft%' y from amb)"
+
+
 SQL: dict[str, str] = {
     "q01_primary_mapped": f"{WITH} select side, ref_id, count(*) n from sides where {PRIMARY} group by all",
     "q02_cigar_sums": f"{WITH} select cigar, {SUMS.format('I')} insertions, {SUMS.format('S')} soft_clips, count(*) n from sides group by all",
@@ -164,4 +203,20 @@ SQL: dict[str, str] = {
     "q39_window_fetch": "with t as (select 'chr' || (i // 20 + 1) contig, i % 20 k, substr(repeat('ACGTTGCACCGGATTA', 20), cast(1 + i % 16 as int), 256) seq from range(60) r(i)), g as (select contig, string_agg(seq, '' order by k) s from t group by contig), a as (select o_orderkey id, 'chr' || (o_custkey % 3 + 1) contig, o_orderkey % 5100 f, o_custkey % 600 + 1 n from orders) select id, case when f + n <= length(s) then substr(s, f + 1, n) end as window from a join g using (contig)",
     "q40_json_fields": "select event_id, coalesce(json_extract_string(props, '$.k'), '-') k, coalesce(json_extract_string(props, '$.k.none'), '-') as none from events",
     "q41_audit_categories": f"{COMPARED}, o2 as (select *, row_number() over (partition by qname, flag, reference, pos, cigar order by ordinal) k from o), t as (select qname, flag, reference, pos, cigar, conventional_nm v, row_number() over (partition by qname, flag, reference, pos, cigar order by ordinal) k from o where ordinal % 11 <> 0), b as (select o2.*, a.ordinal is null gone, a.flag af, a.nm, t.v from o2 left join a using (ordinal) left join t on (o2.qname, o2.flag, o2.reference, o2.pos, o2.cigar, o2.k) = (t.qname, t.flag, t.reference, t.pos, t.cigar, t.k)), c as (select 'audit_record_missing' category from b where gone union all select 'audit_oracle_identity:flag' from b where not gone and flag <> af union all select 'audit_vs_oracle_selected_nm' from b where not gone and nm <> bisulfite_nm union all select 'tool:missing' from b where v is null union all select 'tool:vs_oracle_conventional_nm' from b where not gone and v <> conventional_nm union all select 'tool:vs_oracle_bisulfite_nm' from b where not gone and v <> bisulfite_nm union all select 'tool:vs_audit_nm' from b where not gone and v <> nm) select category, count(*) n from c group by all",
+    "q17b_global_digest": f"{WITH} select count(*) n, sha256(string_agg(qname, chr(10) order by qname) || chr(10)) sha256 from (select distinct qname from prim where side = 'graft')",
+    "q43_disagreement_sample": SAMPLED,
+    "q44_score_errors": ERRORS,
+    "q45_tag_errors": f"{WITH} select error, count(*) n, sum(v)::bigint total from (select case l_partkey % 4 when 0 then 'missing_nm' when 1 then 'non_integer_nm' end error, case when l_partkey % 4 <> 0 then nm end v from graft) group by all",
+    "q46_memory_sizes": "select o_orderkey, asked, case when bytes >= 8388608 then bytes end bytes from (select *, case when regexp_full_match(trim(asked), '[0-9]+ ?([KMGTkmgt]?)[Bb]?') then regexp_extract(asked, '^([0-9]+)', 1)::bigint * case upper(regexp_extract(asked, '([KMGTkmgt]?)[Bb]?$', 1)) when 'K' then 1024 when 'M' then 1048576 when 'G' then 1073741824 when 'T' then 1099511627776 else 1 end end bytes from (select o_orderkey, (o_orderkey % 3000)::varchar || (['', 'K', 'M', 'g', 'T', 'X', 'kb', ' MB'])[o_custkey % 8 + 1] asked from orders))",
+    "q47_reference_names": f"{WITH} select ref_id, case when ref_id in (0, 1) then 'chr' || (ref_id + 1) end ref_name, case when ref_id not in (0, 1) then 'unknown_reference' end error, count(*) n from graft group by all",
+    "q48_paired_recomputed": f"{rescored('plain')} select reason, {cls()} classification, null::varchar error, count(*) n from (select {reason()} reason from amb) group by all",
+    "q49_single_bisulfite": f"{rescored('free', '(flag & 192) = 64')} select reason, {cls()} classification, null::varchar error, count(*) n from (select {SINGLE_REASON} reason from amb) group by all",
+    "q50_unknown_cells": f"{WITH} select label cell from ({grid()}) where label like 't6%'",
+    "q51_tool_counts": f"{EVIDENCE} select 'tool' tool, count(*) expected, count(v) observed, count(*) filter (v = conventional_nm) conventional_nm_equal, count(*) filter (v = bisulfite_nm) bisulfite_nm_equal, count(*) - count(v) missing, count(*) = count(v) identity_equals_original from b",
+    "q52_tool_deltas": f"{EVIDENCE} select 'tool' tool, delta, count(*) n from (select unnest(['vs_oracle_conventional:' || (v - conventional_nm), 'vs_oracle_bisulfite:' || (v - bisulfite_nm)]) delta from b where v is not null) group by all",
+    "q53_first_difference": f"{COMPARED}, d as (select o.ordinal row_number, case when o.flag <> a.flag then 'identity:flag' when bisulfite_nm <> nm then 'score:bisulfite_nm' when o.insertions <> a.insertions then 'score:insertions' when o.score <> a.score then 'score:classification_score' end category, o.qname, o.score expected, a.score found from o join a using (ordinal)) select * from d where category is not null order by row_number limit 1",
+    "q54_same_selection": f"{WITH} {same(reason(), reason('3'), 'thresholds')} union all {same(reason(), reason('4', '12'), 'penalties')}",
+    "q55_replicate_table": f"{WITH} select t, p, count(*) n, {', '.join(f'round(avg({chr(34)}{m}{chr(34)}), 9) {m}_mean, round(stddev_samp({chr(34)}{m}{chr(34)}), 9) {m}_sd' for m in METRICS)} from ({rates(grid('replicate'))}) group by t, p",
+    "q56_identity_keys": f"{WITH} select to_json([qname, flag::varchar, ref_id::varchar, pos::varchar, cigar, (row_number() over (partition by {IDENT} order by {ORDER}) - 1)::varchar])::varchar identity_key, nm from graft",
 }
+SQL["q42_status_tally"] = f"with s as ({SQL['q25_gradient_status']}) select outcome, count(status) n from (values ('within_range'), ('deviation'), ('large_deviation')) v(outcome) left join s on status = outcome group by outcome"

@@ -14,11 +14,15 @@ from siftlane.operators import fragments as f
 
 @dataclass
 class Result:
-    """fragments: classified, one row each; summary: one row for each sample, with its error; selected: graft records by coordinate."""
+    """fragments: classified, one row each; summary: one row for each sample, with its error; chosen: graft records in any order; selected: by coordinate."""
 
     fragments: DataFrame
     summary: DataFrame
-    selected: DataFrame
+    chosen: DataFrame
+
+    @property
+    def selected(self) -> DataFrame:
+        return f.coordinate_sorted(self.chosen)
 
 
 def with_score(records: DataFrame, config: Config) -> DataFrame:
@@ -57,7 +61,21 @@ def run_samples(graft: DataFrame, host: DataFrame, config: Config) -> Result:
     summary = summary.withColumn("error", error).drop("mode_error", "score_error")
     failed = summary.where("error is not null").select("sample_id")
     chosen = f.select_records(graft, rows).join(F.broadcast(failed), "sample_id", "left_anti")
-    return Result(rows, summary, f.coordinate_sorted(chosen))
+    return Result(rows, summary, chosen)
+
+
+def audited(records: DataFrame, names: DataFrame | None = None, limit: int = 0) -> DataFrame:
+    """The records that an audit scores: of the first `limit` that were read (0: all), those of the name list, and mapped."""
+    out = records.where(F.col("ordinal") < limit) if limit else records
+    if names is not None:
+        out = out.join(names.select("qname").distinct(), "qname", "left_semi")
+    return out.where(score.mapped())
+
+
+def named_references(records: DataFrame, references: DataFrame) -> DataFrame:
+    """records with ref_name by ref_id, and reference_error: unknown_reference where the header hasn't the id."""
+    out = records.drop("ref_name").join(references.select("ref_id", "ref_name"), "ref_id", "left")
+    return out.withColumn("reference_error", F.when(F.col("ref_name").isNull(), "unknown_reference"))
 
 
 def score_audit(records: DataFrame, references: DataFrame | None = None, names: DataFrame | None = None, limit: int = 0, bisulfite: bool = False) -> DataFrame:
@@ -65,12 +83,9 @@ def score_audit(records: DataFrame, references: DataFrame | None = None, names:
 
     records need ordinal, qname, flag, ref_id, ref_name, pos, cigar, nm, seq, window.
     """
-    out = records.where(F.col("ordinal") < limit) if limit else records
-    if names is not None:
-        out = out.join(names.select("qname").distinct(), "qname", "left_semi")
-    out = out.where(score.mapped())
+    out = audited(records, names, limit)
     if references is not None:
-        out = out.drop("ref_name").join(references.select("ref_id", "ref_name"), "ref_id", "left")
+        out = named_references(out, references)
     nm = F.when(score.reference_error().isNull(), score.edit_distance("seq", "window", score.parsed_cigar(), score.conversion() if bisulfite else None))
     out = out.withColumn("nm_found", nm).withColumn("i", score.insertions()).withColumn("s", score.soft_clips())
     return out.select(F.col("ordinal").alias("record_ordinal"), "qname", "flag", F.col("ref_name").alias("reference"), F.col("pos").alias("position_0_based"), "cigar", F.coalesce("nm", F.lit(-1)).alias("stored_nm"), F.col("nm_found").alias("nm"), F.col("i").alias("insertions"), F.col("s").alias("soft_clips"), (F.col("nm_found") + F.col("i") + F.col("s")).alias("classification_score"))

@@ -127,7 +127,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["run", "-g", g, "-t", h, "-o", str(out)]) == 0
     place = str(out / "g_Filtered.bam")
     assert [r.qname for r in bam.read_bam(spark, place).collect()] == ["one", "two"] and os.path.exists(place + ".bai")
-    assert "g.bam\t1\t0\t3\t2\t1\t0\t66.67\t33.33\t0.00" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "g.bam\t3\t1\t0\t2\t66.67%\t33.33%\t0.00%\t66.67%\t4\n" in shown and f"g.bam - Output: {place}" in shown
+    assert not [n for n in os.listdir(out) if "selected" in n or "staged" in n]
     assert cli.main(["run", "-g", g, "-t", h, "-o", str(out), "--sort-memory", "4M"]) == 2
     fa = tmp_path / "r.fa"
     fa.write_text(">1\n" + "ACGT" * 250 + "\n")
