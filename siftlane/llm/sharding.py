@@ -1,20 +1,23 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
 Records are hashed into a fixed number of virtual slots; the bytes of each slot are summed, and a
-versioned map gives each slot its shard. A new map places slots from the largest down, each on the
-shard with the least bytes. Rebalancing edits a map: a shard keeps its largest slots up to the target
-and gives up the others, which are placed anew; all other slots stay where they are.
+versioned map, kept as a table, gives each slot its shard. A new map places slots from the largest down,
+each on the shard with the least bytes. Rebalancing edits a map: a shard keeps its largest slots up to
+the target and gives up the others, which are placed anew; all other slots stay where they are. Each
+edit is the next version; older versions stay readable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlane.llm.common import stage
 
-#: Virtual slots; and parts of a slot, in which places are numbered, so that no task numbers a whole slot.
-SLOTS, PARTS = 4096, 16
+#: Virtual slots; parts of a slot at least, in which places are numbered; and rows that a part has on average at most.
+SLOTS, PARTS, PART_ROWS = 4096, 16, 1 << 18
 
 
 def _place(slots: Column, loads: Column) -> Column:
@@ -64,17 +67,37 @@ def rebalance(old: DataFrame, sizes: DataFrame, shards: int, slack: float = 0.01
     return both.crossJoin(F.broadcast(version)).select("version", "slot", "shard", "bytes")
 
 
-def measure(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
-    """id, size, text_crc32, virtual_slot and part of each row."""
+def save_map(slot_map: DataFrame, path: str) -> int:
+    """Add a map to the table of its versions at path; a version that is there already is an error."""
+    version = slot_map.agg(F.max("version")).head()[0]
+    if version is None:
+        version = 0
+    if version in map_versions(slot_map.sparkSession, path):
+        raise ValueError(f"{path} has version {version}")
+    slot_map.select("slot", "shard", "bytes").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
+
+
+def map_versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions kept at path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The map of a version, the newest by default."""
+    version = max(map_versions(spark, path)) if version is None else version
+    return spark.read.schema("slot int, shard int, bytes long").parquet(f"{path}/version={version}").select(F.lit(version).alias("version"), "slot", "shard", "bytes")
+
+
+def measure(df: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """id, size, text_crc32 and virtual_slot of each row, staged with a number of its own (row)."""
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    return df.select(
-        F.col(f"`{key}`").alias("id"),
-        (F.octet_length(raw).cast("long") + 1).alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        (F.crc32(own) % slots).cast("int").alias("virtual_slot"),
-        (F.crc32(F.concat(F.lit("part:"), own)) % parts).cast("int").alias("part"),
-    )
+    rows = df.select(F.col(f"`{key}`").alias("id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), (F.crc32(own) % slots).cast("int").alias("virtual_slot"))
+    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "shard-sizes")
 
 
 def slot_sizes(measured: DataFrame) -> DataFrame:
@@ -82,6 +105,28 @@ def slot_sizes(measured: DataFrame) -> DataFrame:
     return measured.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"))
 
 
+def place(measured: DataFrame, slot_map: DataFrame, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
+    """measured() with shard, place (gapless from 0 in each shard) and map_version, by a map of all its slots.
+
+    Rows are numbered in parts of a slot, by hash of the key. A part that is crowded all the same, as by
+    rows without a key or with one key, is dealt into pieces, by the row's number.
+    """
+    rows = measured.count()
+    parts = max(parts, math.ceil(rows / (slots * PART_ROWS)))
+    part = (F.crc32(F.concat(F.lit("part:"), F.coalesce(F.col("id").cast("string"), F.lit("")))) % parts).cast("int")
+    own = measured.withColumn("part", part)
+    crowded = own.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).where(F.col("n") > 4 * PART_ROWS).select("virtual_slot", "part", F.ceil(F.col("n") / PART_ROWS).alias("pieces"))
+    own = own.join(crowded, ["virtual_slot", "part"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0)).cast("int"))
+    cell = ["virtual_slot", "part", "piece"]
+    mapped = F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version")))  # at most `slots` rows
+    cells = own.groupBy(*cell).agg(F.count("*").alias("n")).join(mapped, "virtual_slot")
+    # A shard's cells: at most slots x parts, and one for each PART_ROWS rows.
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select(*cell, "shard", "map_version", F.coalesce(before, F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy(*cell).orderBy("id", "text_crc32", "size"))
+    return own.withColumn("number", number).join(offsets, cell).select("id", "size", "text_crc32", "shard", (F.col("offset") + F.col("number") - 1).alias("place"), "virtual_slot", "map_version")
+
+
 def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slot_map: DataFrame | None = None, slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
     """id, size, text_crc32, shard, place (gapless from 0 in each shard), virtual_slot and map_version of each row.
 
@@ -89,17 +134,10 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
     a shard; a null text has size 1 and the crc32 of no bytes. Without a map, one is made for the rows'
     own sizes. A shard's bytes differ from the mean by less than its smallest slots' bytes, unless one
     slot holds more than a shard's share. Places follow the slot, its part and the key, so they are the
-    same in each run. An empty table gives an empty result. The maps and the offsets have at most slots
-    x parts rows, whatever the table, and are broadcast.
+    same in each run, but for rows that share a key. A text of any length counts whole; other columns are
+    not read, whatever their names. An empty table gives an empty result.
     """
-    rows = stage(measure(df, key, text, slots, parts), "shard-sizes")
+    measured = measure(df, key, text, slots)
     if slot_map is None:
-        slot_map = stage(new_map(slot_sizes(rows), shards), "shard-map")
-    mapped = F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard", F.col("version").alias("map_version")))
-    cells = rows.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(mapped, "virtual_slot")
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("virtual_slot", "part", "shard", "map_version", F.coalesce(before, F.lit(0)).alias("offset"))
-    number = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("id", "text_crc32", "size"))
-    return rows.withColumn("number", number).join(F.broadcast(offsets), ["virtual_slot", "part"]).select("id", "size", "text_crc32", "shard", (F.col("offset") + F.col("number") - 1).alias("place"), "virtual_slot", "map_version")
-
-
+        slot_map = stage(new_map(slot_sizes(measured), shards), "shard-map")
+    return place(measured, slot_map, slots, parts)
