@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlane.llm.common import slices, span_hashes
+from siftlane.llm.common import kept_names, slices, span_hashes
 
 _NEVER = 1 << 30
 #: Words with more bytes go straight to exact merging (a heap, n log n).
@@ -123,7 +123,8 @@ class WordBpe:
         self.number: dict[int, int] = {}
         self.ids: list[bytes] = []
         self.text: list[bytes] = []
-        self.n: list[int] = []
+        self.word: list[bytes] = []
+        self.odd: dict[bytes, int] = {}
         self.stats = {"words": 0, "failing": 0}
 
     def _trie(self, paths: list[tuple[list[int], int]]) -> None:
@@ -336,24 +337,50 @@ class WordBpe:
         return (buf, first, last, before) if place is None else (buf, place[first], place[last], before)
 
     def _numbers(self, buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The number of each word in this worker's store; new words are encoded."""
+        """The number of each word in this worker's store; new words are encoded.
+
+        Words are looked up by hash, and each is compared byte by byte with the word that has the hash;
+        one that differs goes by its bytes.
+        """
         distinct, sample, back = np.unique(span_hashes(buf, first, last), return_index=True, return_inverse=True)
+        raw, size, of = buf.tobytes(), last - first, sample[back]
+        odd = size != size[of]
+        even = np.flatnonzero(~odd)
+        n = size[even]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum()))
+        wrong = buf[np.repeat(first[even] - begin, n) + place] != buf[np.repeat(first[of[even]] - begin, n) + place]
+        if wrong.any():
+            odd[even[np.add.reduceat(wrong, begin) > 0]] = True
         known = list(map(self.number.get, distinct.tolist()))
+        spans = list(zip(first[sample].tolist(), last[sample].tolist(), strict=True))
         new = [i for i, k in enumerate(known) if k is None]
         if new:
-            raw = buf.tobytes()
-            words = [raw[first[s] : last[s]] for s in sample[new].tolist()]
-            tokens, bounds = self.encode_words(words)
-            names, packed, at = list(map(self.name_bytes.__getitem__, tokens.tolist())), tokens.astype("<u4").tobytes(), bounds.tolist()
-            keys = distinct[new].tolist()
-            for i, key, begin, end in zip(new, keys, at, at[1:]):
-                known[i] = self.number[key] = len(self.ids)
-                self.ids.append(packed[4 * begin : 4 * end])
-                self.text.append(b" ".join(names[begin:end]))
-        return np.array(known, np.int64)[back]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
+            for i, number in zip(new, self._store([raw[slice(*spans[i])] for i in new]), strict=True):
+                known[i] = self.number[int(distinct[i])] = number
+        for i, k in enumerate(known):
+            if self.word[k] != raw[slice(*spans[i])]:
+                odd[back == i] = True
+        out = np.array(known, np.int64)[back]
+        for i in np.flatnonzero(odd).tolist():
+            word = raw[first[i] : last[i]]
+            if word not in self.odd:
+                self.odd[word] = self._store([word])[0]
+            out[i] = self.odd[word]
+        return out
+
+    def _store(self, words: list[bytes]) -> list[int]:
+        """Encode distinct words and keep them; their numbers."""
+        tokens, bounds = self.encode_words(words)
+        names, packed, at, start = list(map(self.name_bytes.__getitem__, tokens.tolist())), tokens.astype("<u4").tobytes(), bounds.tolist(), len(self.ids)
+        for word, begin, end in zip(words, at, at[1:]):
+            self.word.append(word)
+            self.ids.append(packed[4 * begin : 4 * end])
+            self.text.append(b" ".join(names[begin:end]))
+        return list(range(start, len(self.ids)))
+
+    def encode(self, texts: list[str | None], decoded: bool = True) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, decoded text in UTF-8, or nothing unless decoded) of each text."""
         if len(self.ids) > MOST_WORDS:
             self.forget()
         parts: list[str] = []
@@ -378,7 +405,7 @@ class WordBpe:
         for steps in plan:
             if len(steps) == 1 and steps[0] >= 0:
                 own = numbers[before[steps[0]] : before[steps[0] + 1]]
-                out.append((b"".join(map(ids, own)), b" ".join(map(text, own))))
+                out.append((b"".join(map(ids, own)), b" ".join(map(text, own)) if decoded else b""))
                 continue
             a, b = [], []
             for s in steps:
@@ -405,13 +432,16 @@ def _loaded(spec: str) -> WordBpe:
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, and of each row's whole text: n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (string).
 
-    A null text counts as empty: no ids, an empty decoded text. Repeated rows stay. The vocabulary's
-    file (under 2 MB, it doesn't grow with the data) is read by the driver and broadcast. Special tokens
-    in a text become their ids, as the library has it. No shuffle; memory is one block of texts.
+    A null text counts as empty: no ids, an empty decoded text. Repeated rows are encoded each, an empty
+    table gives an empty result, and a text of any length is encoded whole. A kept column that is named
+    like a result comes out as kept_<name>; other columns are not read. The vocabulary's file (under
+    2 MB, it doesn't grow with the data) is read by the driver and broadcast. Special tokens in a text
+    become their ids, as the library has it. No shuffle; memory is one block of texts.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
-    fields = [df.schema[c] for c in keep]
+    own = kept_names(keep, ("n_tokens", "ids", "decoded"))
+    fields = [T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, own, strict=True)]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +453,42 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[s
                 ids = pa.array([x[0] for x in done], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(begin, end - begin) for k in range(len(keep))), pa.array([len(x[0]) // 4 for x in done], pa.int64()), ids, pa.array([x[1] for x in done], pa.binary()).cast(pa.string())],
-                    [*keep, "n_tokens", "ids", "decoded"],
+                    [*own, "n_tokens", "ids", "decoded"],
                 )
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+
+
+def encode_ids(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
+    """id and ids (binary, `width` bytes a token, little-endian) of each row's whole text; a vocabulary beyond 65536 needs 4 bytes."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        raw = f.read()
+    if width not in (2, 4) or (width == 2 and len(_loaded(raw).names) > 1 << 16):
+        raise ValueError(f"ids of this vocabulary don't fit {width} bytes")
+    spec = df.sparkSession.sparkContext.broadcast(raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _loaded(spec.value)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for begin, end in slices(texts, BLOCK):
+                ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x, _ in model.encode(texts[begin:end], decoded=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.binary())], ["id", "ids"])
+
+    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
+
+
+def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and decoded: the text of each row's ids (binary, little-endian unsigned 32-bit); null ids have none."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    own = kept_names(keep, ("decoded",))
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, own, strict=True)), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _loaded(spec.value)
+        for batch in batches:
+            out = pa.array([None if x is None else model.decode(x) for x in batch.column(len(keep)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), out], [*own, "decoded"])
+
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)], F.col(f"`{ids}`").alias("__ids")).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +69,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_names(keep: Sequence[str], new: Sequence[str]) -> list[str]:
+    """Names of kept columns beside new ones: kept_<name> for one that is named like a new one."""
+    return [f"kept_{c}" if c in new else c for c in keep]
+
+
 def fold(column: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as empty text."""
     c = F.col(column) if isinstance(column, str) else column
