@@ -5,6 +5,10 @@ bare dash, or nothing). The states are a role and whether the line begins a turn
 observation is its marker's kind, its length, its ending and its first letter. Start, transition and
 emission probabilities are counted on transcripts whose roles are known, and smoothed; Viterbi
 finds the likeliest states of a transcript's lines, from which turns and roles follow.
+
+A conversation of more than SEGMENT turns is several transcripts. Viterbi reads the last CONTEXT turns of
+the transcript before and the first of the one after along with it, and drops them, so that roles at a
+border are decided by what stands on both sides.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftlane.llm.common import fold
+from siftlane.llm.common import fold, kept_names
 
 ROLES = ("system", "user", "assistant")
 #: Names by which transcripts mark each role's speaker.
@@ -30,8 +35,8 @@ NAMELESS, KINDS = len(ROLES) + 1, len(ROLES) + 2
 _marker = re.compile(r"(?:\[(\w+)\]|<(\w+)>|### *(\w+)|(\w+) *:|(-)(?= ))\s*", re.IGNORECASE)
 LENGTHS, ENDINGS, FIRSTS = 5, 4, 3
 STATES = 2 * len(ROLES)  # role * 2 + (0: begins a turn, 1: goes on)
-#: Turns of a conversation joined to one transcript, so that its length is bounded.
-SEGMENT = 512
+#: Turns of a conversation joined to one transcript, so that its length is bounded; and turns of its neighbours that are read along.
+SEGMENT, CONTEXT = 512, 24
 
 
 def split_marker(line: str) -> tuple[int, str]:
@@ -113,12 +118,13 @@ def fit(labelled: DataFrame) -> Hmm:
     return Hmm(_smooth(parts[0]), _smooth(parts[1]), [_smooth(e) for e in parts[2:]])
 
 
-def turns_of(text: str, model: Hmm) -> list[tuple[str, str]]:
-    """(role, text) of each turn; markers are taken off the lines that begin a turn."""
+def turns_of(text: str, model: Hmm, before: str = "", after: str = "") -> list[tuple[str, str]]:
+    """(role, text) of each turn; markers are taken off the lines that begin a turn. before and after are read along."""
     lines = text.split("\n")
-    states = model.viterbi(np.array([observe(x) for x in lines]))
+    ahead, behind = (x.split("\n") if x else [] for x in (before, after))
+    states = model.viterbi(np.array([observe(x) for x in [*ahead, *lines, *behind]]))[len(ahead) : len(ahead) + len(lines)]
     out: list[tuple[str, list[str]]] = []
-    for i, (line, s) in enumerate(zip(lines, states.tolist(), strict=True)):
+    for line, s in zip(lines, states.tolist(), strict=True):
         if s % 2 == 0 or not out or out[-1][0] != ROLES[s // 2]:
             out.append((ROLES[s // 2], [split_marker(line)[1]]))
         else:
@@ -131,28 +137,38 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{body}\n<|end|>\n" for role, body in turns)
 
 
-def parse(df: DataFrame, model: Hmm, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+def parse(df: DataFrame, model: Hmm, text: str = "text", keep: tuple[str, ...] = ("id",), before: str | None = None, after: str | None = None) -> DataFrame:
     """The kept columns, roles and bodies (arrays, one entry for each turn) and rendered, of each transcript.
 
-    A null or blank transcript has no turns and an empty rendering; repeated rows are parsed each. No shuffle.
+    before, after: columns of what stands ahead of and behind it. A null or blank transcript has no turns
+    and an empty rendering; repeated rows are parsed each; of equally likely paths the first by states
+    counts. A transcript of any length is parsed whole, in memory in proportion to it; an empty table
+    gives an empty result. A kept column named like a result comes out as kept_<name>. No shuffle.
     """
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", roles array<string>, bodies array<string>, rendered string"
+    own = kept_names(keep, ("roles", "bodies", "rendered"))
+    schema = T.StructType([*(T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, own, strict=True)), *T._parse_datatype_string("roles array<string>, bodies array<string>, rendered string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [turns_of(t, model) if t and t.strip() else [] for t in batch.column(len(keep)).to_pylist()]
+            texts = (batch.column(len(keep) + k).to_pylist() for k in range(3))
+            found = [turns_of(t, model, b or "", a or "") if t and t.strip() else [] for t, b, a in zip(*texts, strict=True)]
             kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([[r for r, _ in x] for x in found], kind), pa.array([[b for _, b in x] for x in found], kind), pa.array([render(x) for x in found], pa.string())], [*keep, "roles", "bodies", "rendered"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([[r for r, _ in x] for x in found], kind), pa.array([[b for _, b in x] for x in found], kind), pa.array([render(x) for x in found], pa.string())], [*own, "roles", "bodies", "rendered"])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    read = [F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string") for c in (text, before, after)]
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)], *[c.alias(f"__{k}") for k, c in enumerate(read)]).mapInArrow(run, schema)
 
 
 def transcripts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Raw transcripts of conversations with their lines' true states: id, segment, text, states, true_roles.
+    """Raw transcripts of conversations with their lines' true states: id, segment, piece, text, states, true_roles, before, after.
 
     Each conversation has one of the STYLES, by its key's hash; of every five turns about one loses its
-    marker. SEGMENT consecutive turn numbers at most are joined, so a long conversation is several
-    transcripts. A null role counts as user, a null text as empty, a null turn as the first.
+    marker. SEGMENT consecutive turn numbers are joined, so a long conversation is several transcripts;
+    before and after are the CONTEXT turns of its neighbours next to it. Where turn numbers repeat or are
+    null, as in a conversation without a key, a segment may have more rows than that; they have no order
+    then, and are dealt to pieces of about SEGMENT rows, so that none is gathered beyond a bound. A null
+    role counts as user, a null text as empty, a null turn as the first; rows of one turn number go by
+    role and text. Extra columns are not read. An empty table gives an empty result.
     """
     c = lambda n: F.col(f"`{n}`")
     who = F.coalesce(c(role).cast("string"), F.lit("user"))
@@ -169,11 +185,24 @@ def transcripts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     marked = F.concat(F.when(lost, F.lit("")).otherwise(styled), F.coalesce(c(text).cast("string"), F.lit("")))
     code = F.when(who == "system", 0).when(who == "assistant", 4).otherwise(2)
     lines = F.size(F.split("x.body", "\n", -1))
-    rows = df.select(c(conv).alias("id"), F.floor(number / SEGMENT).cast("long").alias("segment"), F.struct(number.alias("turn"), who.alias("role"), marked.alias("body"), code.alias("code")).alias("x"))
+    segment = F.floor(number / SEGMENT).cast("long")
+    rows = df.select(c(conv).alias("id"), segment.alias("segment"), F.struct(number.alias("turn"), who.alias("role"), marked.alias("body"), code.alias("code")).alias("x"))
     rows = rows.withColumn("states", F.transform(F.sequence(F.lit(1), lines), lambda k: F.col("x.code") + F.when(k > 1, 1).otherwise(0)))
-    joined = rows.groupBy("id", "segment").agg(F.array_sort(F.collect_list(F.struct("x.turn", "x.role", "x.body", "states"))).alias("x"))
-    return joined.select("id", "segment", F.array_join(F.transform("x", lambda e: e["body"]), "\n").alias("text"), F.flatten(F.transform("x", lambda e: e["states"])).alias("states"), F.transform("x", lambda e: e["role"]).alias("true_roles"))
+    crowded = rows.groupBy("id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENT).select(F.col("id").alias("of"), F.col("segment").alias("at"), F.ceil(F.col("n") / SEGMENT).alias("pieces"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).join(crowded, F.col("id").eqNullSafe(F.col("of")) & (F.col("segment") == F.col("at")), "left")
+    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0)).cast("int"))
+    # A turn near a border stands in its own transcript (part 0) and behind (1) or ahead of (-1) the neighbour's.
+    place = F.pmod("x.turn", F.lit(SEGMENT))
+    alone = F.col("pieces").isNull()
+    parts = F.array_compact(F.array(F.struct(F.lit(0).alias("part"), F.col("segment").alias("to")), F.when(alone & (place < CONTEXT), F.struct(F.lit(1).alias("part"), (F.col("segment") - 1).alias("to"))), F.when(alone & (place >= SEGMENT - CONTEXT), F.struct(F.lit(-1).alias("part"), (F.col("segment") + 1).alias("to")))))
+    rows = rows.select("id", "piece", F.explode(parts).alias("p"), "x", "states").select("id", F.col("p.to").alias("segment"), "piece", F.struct(F.col("p.part").alias("part"), "x.turn", "x.role", "x.body", "states").alias("x"))
+    joined = rows.groupBy("id", "segment", "piece").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    part = lambda k: F.filter("x", lambda e: e["part"] == k)
+    text_of = lambda k: F.array_join(F.transform(part(k), lambda e: e["body"]), "\n")
+    out = joined.where(F.exists("x", lambda e: e["part"] == 0))
+    return out.select("id", "segment", "piece", text_of(0).alias("text"), F.flatten(F.transform(part(0), lambda e: e["states"])).alias("states"), F.transform(part(0), lambda e: e["role"]).alias("true_roles"), text_of(-1).alias("before"), text_of(1).alias("after"))
 
 
 def training_rows(raw: DataFrame, held: tuple[int, int] = (5, 0)) -> DataFrame:
+    """The transcripts whose key isn't held out; a null key counts as empty text."""
     return raw.where(fold("id", held[0]) != held[1])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlane.llm.common import slices
+from siftlane.llm.common import kept_names, slices
 
 RATE, FRAME, HOP = 8000, 256, 128
 BANDS, REACH, FAN, FARTHEST = 4, 2, 3, 63
@@ -102,21 +102,35 @@ def fingerprints(samples: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and media: each row's whole text (null: empty) as a sound."""
-    fields = [df.schema[c] for c in keep]
+    """The kept columns and media: each row's whole text (null: empty) as a sound.
+
+    Equal texts are equal sounds, an empty text one of UNIT blanks; repeated rows are stored each. A text
+    of any length is stored whole: memory is a block of texts, or one text that is longer. An empty table
+    gives an empty result. A kept column named media comes out as kept_media; others are not read.
+    """
+    own = kept_names(keep, ("media",))
+    fields = [T.StructField(n, df.schema[c].dataType) for c, n in zip(keep, own, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for begin, end in slices(texts, BLOCK):
-                own = pa.array([to_wav(payload_of(t)) for t in texts[begin:end]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(begin, end - begin) for k in range(len(keep))), own], [*keep, "media"])
+                sounds = pa.array([to_wav(payload_of(t)) for t in texts[begin:end]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(begin, end - begin) for k in range(len(keep))), sounds], [*own, "media"])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string")).mapInArrow(run, T.StructType([*fields, T.StructField("media", T.BinaryType())]))
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, T.StructType([*fields, T.StructField("media", T.BinaryType())]))
 
 
 def analyse(df: DataFrame, media: str = "media") -> DataFrame:
-    """All columns, and of each row's sound: samples (binary), peak_times and peak_codes. A null media has nulls."""
+    """All columns, and of each row's sound: samples (binary), peak_times and peak_codes (arrays, by time, then frequency).
+
+    A null media has nulls; one that isn't a mono sound of 8-bit samples is an error. A sound without
+    peaks (silence) has empty arrays; of equal peaks in a band the first in time and frequency counts.
+    Repeated rows are analysed each; an empty table gives an empty result. Columns named like a result
+    are replaced by it.
+    """
+    results = ("samples", "peak_times", "peak_codes")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c == media or c not in results])
     names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("samples", T.BinaryType()), T.StructField("peak_times", T.ArrayType(T.IntegerType())), T.StructField("peak_codes", T.ArrayType(T.IntegerType()))])
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlane.llm import bpe, chat, itq, langid, lm, media, minhash, mixing, oracle, packing, sharding
-from siftlane.llm.common import fold, read_table, stage
+from siftlane.llm.common import fold, read_table, shared_dir, stage
 
-#: The vocabulary of op3 and the pipeline.
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+def tokenizer() -> str:
+    """The path of the vocabulary of op1, op3 and the pipeline: looked for only where it is needed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as byte ids (one byte a token) in packed rows of 8192."""
-    docs = read_table(spark, sf_dir, "documents")
-    return packing.pack(docs, row=8192, ids=F.encode("text", "UTF-8"), width=1)
+    """All documents as token ids of op3's vocabulary, two bytes each, in packed rows of 8192 tokens."""
+    ids = stage(bpe.encode_ids(read_table(spark, sf_dir, "documents"), tokenizer(), width=2), "packing-ids")
+    return packing.pack(ids, row=8192, key="id", ids="ids", width=2)
 
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +33,20 @@ def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
-    out = bpe.encode(read_table(spark, sf_dir, "documents"), TOKENIZER)
+    out = bpe.encode(read_table(spark, sf_dir, "documents"), tokenizer())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of nearly equal bytes."""
-    out = sharding.shard(read_table(spark, sf_dir, "documents"), shards=16)
-    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    """All documents in 16 shards of nearly equal bytes; and in 17 by the map's next version."""
+    measured = sharding.measure(read_table(spark, sf_dir, "documents"))
+    sizes = sharding.slot_sizes(measured)
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.save_map(sharding.new_map(sizes, 16), path)
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), sizes, 17), path)
+    after = sharding.load_map(spark, path).select(F.col("slot").alias("virtual_slot"), F.col("shard").alias("next_shard"), F.col("version").alias("next_version"))
+    out = sharding.place(measured, sharding.load_map(spark, path, 1)).join(F.broadcast(after), "virtual_slot", "left")  # at most SLOTS rows
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard", "next_version")
 
 
 def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def op5_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a sound, read back and fingerprinted."""
+    """Every document as a sound, read back and fingerprinted; feature names the arrays' size and digest."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"))
     out = media.analyse(media.store(docs, keep=("doc_id", "n_bytes")))
     size = F.octet_length("samples")
@@ -54,7 +64,7 @@ def op6_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), size.cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.substring("samples", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.size("peak_codes").cast("string"), F.md5(F.encode(prints, "UTF-8"))).alias("feature"), F.size("peak_codes").alias("n_pairs"),
+        F.concat_ws(":", F.size("peak_codes").cast("string"), F.md5(F.encode(prints, "UTF-8"))).alias("feature"), F.size("peak_codes").alias("n_pairs"), "peak_times", "peak_codes",
     )
 
 
@@ -62,8 +72,8 @@ def op7_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles recovered from raw transcripts of all conversations, and their canonical form."""
     raw = stage(chat.transcripts(read_table(spark, sf_dir, "conversations")), "chat-transcripts")
     model = chat.fit(chat.training_rows(raw))
-    out = chat.parse(raw, model, keep=("id", "segment", "true_roles"))
-    return out.select(F.col("id").alias("conv_id"), "segment", (fold("id", 5) == 0).alias("held_out"), F.size("true_roles").alias("n_true"), F.size("roles").alias("n_turns"), "roles", (F.col("roles") == F.col("true_roles")).alias("recovered"), "rendered")
+    out = chat.parse(raw, model, keep=("id", "segment", "piece", "true_roles"), before="before", after="after")
+    return out.select(F.col("id").alias("conv_id"), "segment", "piece", (fold("id", 5) == 0).alias("held_out"), F.size("true_roles").alias("n_true"), F.size("roles").alias("n_turns"), "roles", (F.col("roles") == F.col("true_roles")).alias("recovered"), "rendered")
 
 
 def op8_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

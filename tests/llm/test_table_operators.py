@@ -110,6 +110,29 @@ def test_sharding(spark):
     assert len({x.shard for x in twice}) == 1 and sorted(x.place for x in twice) == [0, 1, 2]
 
 
+def test_versions_of_maps_are_kept(spark, tmp_path):
+    sizes = spark.createDataFrame([(k, 10 + k % 7) for k in range(60)], "slot int, bytes long")
+    path = f"file://{tmp_path}/maps"
+    assert sharding.map_versions(spark, path) == [] and sharding.save_map(sharding.new_map(sizes, 4), path) == 1
+    assert sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), sizes, 5), path) == 2 and sharding.map_versions(spark, path) == [1, 2]
+    old, new = ({r.slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (1, None))
+    moved = [new[k] for k in old if new[k] != old[k]]
+    assert len(old) == len(new) == 60 and 9 <= len(moved) < 20 and moved.count(4) > 0.8 * len(moved)
+    with pytest.raises(ValueError, match="version 1"):
+        sharding.save_map(sharding.load_map(spark, path, 1), path)
+
+
+def test_rows_without_a_key_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    df = docs(spark, ["x"] * 300 + [f"t{k}" for k in range(100)], ids=[None] * 300 + list(range(100)))
+    out = sharding.shard(df, 4).collect()
+    by = defaultdict(list)
+    for x in out:
+        by[x.shard].append(x.place)
+    assert len(out) == 400 and all(sorted(p) == list(range(len(p))) for p in by.values())
+    assert len({x.shard for x in out if x.id is None}) == 1
+
+
 def test_rebalancing_moves_few_slots(spark):
     r = random.Random(1)
     sizes = {s: r.randint(50, 150) for s in range(400)}
@@ -203,12 +226,38 @@ def test_media(spark):
     alone = media.fingerprints([bytes(out[6].samples)])[0]
     assert alone[1].tolist() == out[6].peak_codes  # neighbours in a batch don't matter
     assert media.analyse(media.store(docs(spark, ["a"]).limit(0))).count() == 0
+    clash = media.analyse(media.store(docs(spark, texts).withColumn("samples", F.lit(1)).withColumn("media", F.lit("m")), keep=("doc_id", "samples", "media")))
+    assert clash.columns == ["doc_id", "kept_media", "media", "samples", "peak_times", "peak_codes"] and clash.count() == len(texts)
     nothing = spark.createDataFrame([(1, None)], "doc_id long, media binary")
     assert media.analyse(nothing).head().peak_codes is None
     with pytest.raises(Exception):
         media.from_wav(b"no sound")
 
 
+def test_fingerprints_equal_a_plain_transform():
+    """Peaks and pairs from a transform summed by its definition, frame by frame."""
+    r = np.random.default_rng(7)
+    t = np.arange(2000)
+    sounds = [(128 + 40 * np.sin(t * 0.7) + 30 * np.sin(t * 1.9) * (t > 900) + r.normal(0, 8, 2000)).clip(0, 255).astype(np.uint8).tobytes(), r.integers(0, 256, 700, dtype=np.uint8).tobytes(), b" " * 192, bytes([128]) * 400]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(1, media.FRAME // 2 + 1)) / media.FRAME)
+    width = media.FRAME // 2 // media.BANDS
+    for sound, (times, codes) in zip(sounds, media.fingerprints(sounds), strict=True):
+        x = np.frombuffer(sound, np.uint8).astype(float) - 128
+        frames = max(1, -(-(len(x) - media.FRAME) // media.HOP) + 1)
+        x = np.pad(x, (0, (frames - 1) * media.HOP + media.FRAME - len(x)))
+        power = np.array([np.abs((x[k * media.HOP : k * media.HOP + media.FRAME] * window) @ wave) ** 2 for k in range(frames)])
+        peaks = []
+        for k in range(frames):
+            for band in range(media.BANDS):
+                own = power[:, band * width : (band + 1) * width].max(axis=1)
+                low, high = max(0, k - media.REACH), k + media.REACH + 1
+                if own[k] > 1e-3 and own[k] >= own[low:high].max() * (1 - 1e-9) and not (own[low:k] >= own[k] * (1 - 1e-9)).any():
+                    peaks.append((k, band * width + int(power[k, band * width : (band + 1) * width].argmax())))
+        want = sorted((a, fa << 13 | fb << 6 | b - a) for i, (a, fa) in enumerate(peaks) for b, fb in peaks[i + 1 : i + 1 + media.FAN] if b - a <= media.FARTHEST)
+        assert list(zip(times.tolist(), codes.tolist())) == want
+
+
 def test_fingerprints_find_tones_in_time():
     t = np.arange(8000)
     tone = (128 + 60 * np.sin(2 * np.pi * 1000 / 8000 * t) * (t > 4000)).astype(np.uint8).tobytes()
@@ -238,11 +287,30 @@ def test_chat(spark):
     odd = spark.createDataFrame([(1, None), (2, " \n"), (3, "User: hi\nassistant: yo\nmore"), (3, "User: hi\nassistant: yo\nmore")], "id long, text string")
     got = chat.parse(odd, model).collect()
     assert [len(x.roles) for x in got] == [0, 0, 2, 2] and got[2].roles == ["user", "assistant"] and got[2].bodies == ["hi", "yo\nmore"] and got[0].rendered == ""
+    clash = odd.withColumn("roles", F.lit(7))
+    assert chat.parse(clash, model, keep=("id", "roles")).columns == ["id", "kept_roles", "roles", "bodies", "rendered"]
     nulls = spark.createDataFrame([(None, None, None, None), (1, 5, "user", None), (1, 5, "user", None)], "conv_id long, turn long, role string, text string")
     assert chat.transcripts(nulls).count() == 2
     assert chat.transcripts(nulls.limit(0)).count() == 0 and chat.fit(raw.limit(0)) is not None
 
 
+def test_long_and_unordered_conversations(spark):
+    """Borders of transcripts don't change roles, and rows without an order are dealt to bounded pieces."""
+    model = chat.fit(chat.training_rows(chat.transcripts(conversations(spark, 300, 8))))
+    n = 1400
+    rows = [(5, k, "user" if k % 2 == 0 else "assistant", "What is it now?" if k % 2 == 0 else " ".join(["It"] + ["w"] * 40) + ".") for k in range(n)]
+    raw = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    parts = sorted(chat.parse(raw, model, keep=("segment", "text"), before="before", after="after").collect(), key=lambda x: x.segment)
+    assert [len(x.text.split("\n")) for x in parts] == [512, 512, 376]
+    whole = chat.turns_of("\n".join(x.text for x in parts), model)
+    assert [r for x in parts for r in x.roles] == [r for r, _ in whole]
+    odd = [(None, None, "user", "same")] * 1500 + [(7, 3, "assistant", f"t{k}") for k in range(700)] + [(8, 1, "user", "x")]
+    got = chat.transcripts(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(len(x.true_roles) for x in got) == len(odd) and max(len(x.true_roles) for x in got) < 700
+    assert sorted({(x.id or 0, x.piece) for x in got}) == [(0, 0), (0, 1), (0, 2), (7, 0), (7, 1), (8, 0)]
+    assert sorted(t for x in got if x.id == 7 for t in x.text.split("\n")) != [] and all(x.before == x.after == "" for x in got)
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(3)
     model = chat.Hmm(r.normal(size=chat.STATES), r.normal(size=(chat.STATES, chat.STATES)), [r.normal(size=(chat.STATES, n)) for n in (chat.KINDS, chat.LENGTHS, chat.ENDINGS, chat.FIRSTS)])

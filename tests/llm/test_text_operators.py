@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
@@ -77,6 +78,32 @@ def test_every_token_is_its_own_encoding(model):
     assert np.array_equal(of, np.arange(len(raw))) and [model.names[t] for t in tokens.tolist()] == [n + "</w>" for n in names]
 
 
+def test_words_that_share_a_hash_are_told_apart(model, library, monkeypatch):
+    weak = bpe.WordBpe(open(PATH, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, first, last: ((last - first) % 3).astype(np.uint64))
+    texts = [*ODD, *noise(11, 300)]
+    for _ in range(2):
+        for k in range(0, len(texts), 50):
+            own = texts[k : k + 50]
+            for (ids, decoded), want in zip(weak.encode(own), library.encode_batch(own, add_special_tokens=False), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == want.ids and decoded.decode() == library.decode(want.ids, skip_special_tokens=False)
+
+
+def test_encode_long_texts_and_clashes(spark, library):
+    long = " ".join(noise(12, 30000, "aeinorst", 9)) + " " + "z" * 30000
+    df = spark.createDataFrame([(1, long, "x", "y", "z")], DOCS).withColumn("ids", F.lit(5)).withColumn("n_tokens", F.lit("n"))
+    row = bpe.encode(df, PATH, keep=("doc_id", "ids", "n_tokens")).head()
+    want = library.encode(long, add_special_tokens=False).ids
+    assert (row.kept_ids, row.kept_n_tokens, row.n_tokens) == (5, "n", len(want)) and np.frombuffer(row.ids, "<u4").tolist() == want
+    coded = bpe.encode(df, PATH).select("doc_id", "ids", F.col("decoded").alias("want"))
+    back = bpe.decode(coded, PATH, keep=("doc_id", "want")).head()
+    assert back.decoded == back.want == library.decode(want, skip_special_tokens=False)
+    two = bpe.encode_ids(df, PATH, width=2).head()
+    assert np.frombuffer(two.ids, "<u2").tolist() == want
+    with pytest.raises(ValueError):
+        bpe.encode_ids(df, PATH, width=3)
+
+
 def test_encode_edges(spark, library):
     df = spark.createDataFrame([*rows([None, "", "Twice", "Twice"]), (None, "no id", None, None, None)], DOCS)
     got = bpe.encode(df, PATH).collect()
@@ -302,8 +329,6 @@ def test_foreign_and_garbled_texts_are_rejected():
 
 
 def test_digests_of_queries_follow_from_outputs(spark, library):
-    from pyspark.sql import functions as F
-
     out = bpe.encode(spark.createDataFrame(rows(["Some text"]), DOCS), PATH).select(F.sha2("ids", 256).alias("a"), F.sha2("decoded", 256).alias("b")).head()
     want = library.encode("Some text", add_special_tokens=False).ids
     assert out.a == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
