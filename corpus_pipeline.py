@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftlane.llm import bpe, langid, minhash, mixing
 from siftlane.llm.common import read_table, stage
-from siftlane.llm.queries import TOKENIZER
+from siftlane.llm.queries import tokenizer
 
 #: Column of a row's own number within a stage.
 ROW = "__row"
@@ -44,7 +44,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and digests of ids and decoded text."""
-    out = bpe.encode(docs, TOKENIZER, keep=("doc_id", "lang", "source"))
+    out = bpe.encode(docs, tokenizer(), keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
