@@ -13,12 +13,15 @@ from siftlane.llm import bpe, langid, minhash, mixing
 from siftlane.llm.common import read_table, stage
 from siftlane.llm.queries import tokenizer
 
-#: Column of a row's own number within a stage.
-ROW = "__row"
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without letters or below the model's limit go."""
+    """Documents whose language is recognised.
+
+    Those go whose text is null or has no letter, or is below the model's limits of probability or of
+    known n-grams. The model is fitted to docs; where no row has a label and letters, there is no
+    model, and no row is recognised. Repeated rows are judged each, texts of any length whole. Extra
+    columns stay, whatever their names; an empty table gives an empty one.
+    """
     found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
     return found.where(~F.col("rejected")).select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
@@ -27,23 +30,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first document of each group of near-duplicates, and all that are in none.
 
     Each row is a document of its own, by a staged number, as doc_id may be null or repeated. First is
-    the least doc_id, null last, and of equal ones the least number.
+    the least doc_id, null last, and of equal ones the least number. Rows whose text is null or has no
+    words are in no group. Texts of any length are compared whole. Extra columns stay, whatever their
+    names; an empty table gives an empty one.
     """
-    rows = stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
-    found = minhash.near_duplicates(rows, key=ROW, shingle=5, percent=80, rows=5, bands=24).select(F.col("id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    kept = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    row = next(n for n in ("__row" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, key=row, shingle=5, percent=80, rows=5, bands=24).select(F.col("id").alias(row), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = rows.select(row, "doc_id").join(found, row).groupBy("group").agg(F.min_by(row, order).alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents read in one epoch for a budget of nine tenths of the tokens."""
-    read = mixing.mix(docs, share=0.9, epochs=1).select("id").distinct()
-    return docs.join(read, docs["doc_id"].eqNullSafe(read["id"]), "left_semi")
+    """The documents read in one epoch for a budget of nine tenths of the tokens.
+
+    Rows that share a doc_id stay if one of them is read; rows without words are never read. A null
+    language or source counts as empty, so is a leaf of its own. Extra columns stay, whatever their
+    names; an empty table gives an empty one.
+    """
+    read = mixing.mix(docs, share=0.9, epochs=1).select(F.col("id").alias("__read")).distinct()
+    return docs.join(read, docs["doc_id"].eqNullSafe(read["__read"]), "left_semi")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, and digests of ids and decoded text."""
+    """Each document's ids, and digests of ids and decoded text.
+
+    A null text has no ids; repeated rows and texts of any length are encoded each, and whole. Extra
+    columns are left out. An empty table gives an empty result.
+    """
     out = bpe.encode(docs, tokenizer(), keep=("doc_id", "lang", "source"))
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
