@@ -72,6 +72,10 @@ NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0
 _newer = re.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class WordBpe:
     """A tokenizer of the kind BPE with word ends: NFC, lower case, words without blanks."""
 
@@ -120,11 +124,14 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
-        self.ids: list[bytes] = []
-        self.text: list[bytes] = []
-        self.word: list[bytes] = []
+        self.hashes, self.numbers = np.array([(1 << 64) - 1], np.uint64), np.array([0], np.int64)  # sorted, and the words' numbers; the last hash is no word's but for luck, and then compared
+        # Number 0 is the empty word, which no text has.
+        self.word: list[bytes] = [b""]
         self.odd: dict[bytes, int] = {}
+        # All words' ids, and their tokens' names, a blank after each; and where each word's begin.
+        self.flat, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.said, self.said_begin = np.zeros(1 << 18, np.uint8), np.zeros(1 << 14, np.int64)
+        self.head, self.rest, self.size = (np.zeros(1 << 14, t) for t in (np.uint64, np.uint64, np.int64))  # their first sixteen bytes, and lengths
         self.stats = {"words": 0, "failing": 0}
 
     def _trie(self, paths: list[tuple[list[int], int]]) -> None:
@@ -302,9 +309,13 @@ class WordBpe:
     def normal(text: str) -> str:
         """NFC and lower case of each character by itself (no final sigma). Blanks part words and nothing else."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _newer.search(text):
-                text = text.translate(NEWER_LOWER)
+            text = unicodedata.normalize("NFC", text)
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                text = text.replace("Σ", "σ")
+                if _newer.search(text):
+                    text = text.translate(NEWER_LOWER)
         return text.lower()
 
     def _spans(self, joined: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -344,47 +355,64 @@ class WordBpe:
         """
         distinct, sample, back = np.unique(span_hashes(buf, first, last), return_index=True, return_inverse=True)
         raw, size, of = buf.tobytes(), last - first, sample[back]
-        odd = size != size[of]
-        even = np.flatnonzero(~odd)
-        n = size[even]
-        begin = np.cumsum(n) - n
-        place = np.arange(int(n.sum()))
-        wrong = buf[np.repeat(first[even] - begin, n) + place] != buf[np.repeat(first[of[even]] - begin, n) + place]
-        if wrong.any():
-            odd[even[np.add.reduceat(wrong, begin) > 0]] = True
-        known = list(map(self.number.get, distinct.tolist()))
-        spans = list(zip(first[sample].tolist(), last[sample].tolist(), strict=True))
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
-            for i, number in zip(new, self._store([raw[slice(*spans[i])] for i in new]), strict=True):
-                known[i] = self.number[int(distinct[i])] = number
-        for i, k in enumerate(known):
-            if self.word[k] != raw[slice(*spans[i])]:
-                odd[back == i] = True
-        out = np.array(known, np.int64)[back]
+        # The first sixteen bytes of all words as two integers, and the rest of longer ones byte by byte.
+        eight = np.ndarray(len(buf) + 9, "<u8", np.concatenate([buf, np.zeros(16, np.uint8)]).data, strides=(1,))
+        lead, tail = eight[first] & _FIRST[np.minimum(size, 8)], eight[np.minimum(first + 8, len(buf))] & _FIRST[np.clip(size - 8, 0, 8)]
+        odd = (size != size[of]) | (lead != lead[of]) | (tail != tail[of])
+        long = np.flatnonzero((size > 16) & ~odd)
+        if len(long):
+            n = size[long]
+            begin = np.cumsum(n) - n
+            place = np.arange(int(n.sum()))
+            wrong = buf[np.repeat(first[long] - begin, n) + place] != buf[np.repeat(first[of[long]] - begin, n) + place]
+            odd[long[np.add.reduceat(wrong, begin, dtype=np.int64) > 0]] = True
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct)
+        span = lambda i: raw[first[i] : last[i]]
+        if len(new):
+            words = sample[new].tolist()
+            numbers = self._store(list(map(span, words)), lead[words], tail[words])
+            self.hashes, self.numbers = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.numbers, at[new], numbers)
+            at = np.searchsorted(self.hashes, distinct)
+        known = self.numbers[at]
+        # The store's word of each hash, compared likewise.
+        other = (self.head[known] != lead[sample]) | (self.rest[known] != tail[sample])
+        far = np.flatnonzero((size[sample] > 16) | (self.size[known] != size[sample]))
+        other[far] = [self.word[k] != span(i) for k, i in zip(known[far].tolist(), sample[far].tolist(), strict=True)]
+        odd |= other[back]
+        out = known[back]
         for i in np.flatnonzero(odd).tolist():
-            word = raw[first[i] : last[i]]
+            word = span(i)
             if word not in self.odd:
-                self.odd[word] = self._store([word])[0]
+                self.odd[word] = self._store([word], lead[[i]], tail[[i]])[0]
             out[i] = self.odd[word]
         return out
 
-    def _store(self, words: list[bytes]) -> list[int]:
-        """Encode distinct words and keep them; their numbers."""
+    def _store(self, words: list[bytes], lead: np.ndarray, tail: np.ndarray) -> list[int]:
+        """Encode distinct words and keep them, with their first sixteen bytes; their numbers."""
         tokens, bounds = self.encode_words(words)
-        names, packed, at, start = list(map(self.name_bytes.__getitem__, tokens.tolist())), tokens.astype("<u4").tobytes(), bounds.tolist(), len(self.ids)
-        for word, begin, end in zip(words, at, at[1:]):
-            self.word.append(word)
-            self.ids.append(packed[4 * begin : 4 * end])
-            self.text.append(b" ".join(names[begin:end]))
-        return list(range(start, len(self.ids)))
-
-    def encode(self, texts: list[str | None], decoded: bool = True) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text in UTF-8, or nothing unless decoded) of each text."""
-        if len(self.ids) > MOST_WORDS:
+        names, at, start = list(map(self.name_bytes.__getitem__, tokens.tolist())), bounds.tolist(), len(self.word)
+        said = [b" ".join(names[a:b]) + b" " if b > a else b"" for a, b in zip(at, at[1:])]
+        self.word += words
+        count = len(self.word)
+        while len(self.begin) <= count:
+            for name in ("begin", "said_begin", "head", "rest", "size"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        self.head[start:count], self.rest[start:count], self.size[start:count] = lead, tail, list(map(len, words))
+        for flat, begin, own, ends in (("flat", self.begin, tokens, bounds), ("said", self.said_begin, np.frombuffer(b"".join(said), np.uint8), np.cumsum([0, *map(len, said)]))):
+            used = int(begin[start])
+            while len(getattr(self, flat)) < used + len(own):
+                setattr(self, flat, np.concatenate([getattr(self, flat), np.zeros_like(getattr(self, flat))]))
+            getattr(self, flat)[used : used + len(own)] = own
+            begin[start : count + 1] = used + np.asarray(ends)
+        return list(range(start, count))
+
+    def _plan(self, texts: list[str | None]) -> tuple[list[list[int]], np.ndarray, list[int]]:
+        """Of each text the numbers of its parts, or -1 - id of a special token; the numbers of all parts' words; and how many are before each part."""
+        if len(self.word) > MOST_WORDS:
             self.forget()
         parts: list[str] = []
-        plan: list[list[int]] = []  # of each text: numbers of its parts, or -1 - id of a special token
+        plan: list[list[int]] = []
         for t in texts:
             steps = []
             for piece in self.special_at.split(t) if t and self.special_at and "<|" in t else [t or ""]:
@@ -395,30 +423,36 @@ class WordBpe:
                     parts.append(self.normal(piece) + "\n")
             plan.append(steps)
         if not parts:
-            numbers, before = [], [0]
-        else:
-            offsets = np.cumsum([0] + [len(p) for p in parts])
-            buf, first, last, counts = self._spans("".join(parts), offsets)
-            numbers, before = self._numbers(buf, first, last).tolist() if len(first) else [], counts.tolist()
-        ids, text = self.ids.__getitem__, self.text.__getitem__
+            return plan, np.zeros(0, np.int64), [0]
+        buf, first, last, before = self._spans("".join(parts), np.cumsum([0] + [len(p) for p in parts]))
+        return plan, self._numbers(buf, first, last) if len(first) else np.zeros(0, np.int64), before.tolist()
+
+    def _gather(self, flat: np.ndarray, begin: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of flat of words by number, one after another; and where each one's begin and end."""
+        n = begin[numbers + 1] - begin[numbers]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(begin[numbers] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, decoded text in UTF-8) of each text."""
+        plan, numbers, before = self._plan(texts)
+        (tokens, at), (said, said_at) = self._gather(self.flat, self.begin, numbers), self._gather(self.said, self.said_begin, numbers)
+        at, said_at = at[before].tolist(), said_at[before].tolist()
+        ids, text = tokens.astype("<u4", copy=False).tobytes(), said.tobytes()
+        part = lambda s: (ids[4 * at[s] : 4 * at[s + 1]], text[said_at[s] : said_at[s + 1]]) if s >= 0 else (np.array([-1 - s], "<u4").tobytes(), self.name_bytes[-1 - s] + b" ")
         out = []
         for steps in plan:
-            if len(steps) == 1 and steps[0] >= 0:
-                own = numbers[before[steps[0]] : before[steps[0] + 1]]
-                out.append((b"".join(map(ids, own)), b" ".join(map(text, own)) if decoded else b""))
-                continue
-            a, b = [], []
-            for s in steps:
-                if s < 0:
-                    a.append(np.array([-1 - s], "<u4").tobytes())
-                    b.append(self.name_bytes[-1 - s])
-                else:
-                    own = numbers[before[s] : before[s + 1]]
-                    a.extend(map(ids, own))
-                    b.extend(map(text, own))
-            out.append((b"".join(a), b" ".join(b)))
+            found = [part(s) for s in steps]
+            out.append((b"".join([a for a, _ in found]), b"".join([b for _, b in found])[:-1]))  # a blank follows each token's name
         return out
 
+    def encode_ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plan, numbers, before = self._plan(texts)
+        tokens, at = self._gather(self.flat, self.begin, numbers)
+        part = lambda s: tokens[at[before[s]] : at[before[s + 1]]] if s >= 0 else np.array([-1 - s], np.uint32)
+        return [part(steps[0]) if len(steps) == 1 else np.concatenate([np.zeros(0, np.uint32), *map(part, steps)]) for steps in plan]
+
     def decode(self, ids: bytes) -> str:
         """The names of the tokens, one blank between: what the vocabulary's file asks for, which has no decoder."""
         return " ".join([self.names[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -472,7 +506,7 @@ def encode_ids(df: DataFrame, tokenizer_path: str, text: str = "text", key: str
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for begin, end in slices(texts, BLOCK):
-                ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x, _ in model.encode(texts[begin:end], decoded=False)]
+                ids = [x.astype(f"<u{width}").tobytes() for x in model.encode_ids(texts[begin:end])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(ids, pa.binary())], ["id", "ids"])
 
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "id long, ids binary")

@@ -55,7 +55,7 @@ def library():
 def test_bpe_equals_the_library(model, library):
     texts = ODD + noise(1, 3000) + noise(2, 40, "aelnorst", 600) + ["a" + chr(c) + "b " + chr(c) + " '" + chr(c) for c in range(1, 0x3000, 3)]
     for text, (ids, decoded), want in zip(texts, model.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text[:60])
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids == model.encode_ids([text])[0].tolist(), repr(text[:60])
         assert decoded.decode() == library.decode(want.ids, skip_special_tokens=False) == model.decode(ids)
 
 
@@ -225,6 +225,13 @@ def test_language_model(spark):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_language_model_on_a_very_long_text(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(200_000))
+    df = spark.createDataFrame([*rows([long, "w1 w2", None], first=1)], DOCS)
+    got = {x.id: x for x in lm.score(df, block_bytes=1000, bucket_bytes=100_000).collect()}
+    assert got[1].n_tokens == 200_001 and got[2].n_tokens == 3 and got[3].n_tokens == 1 and all(math.isfinite(x.score) for x in got.values())
+
+
 def test_messages_are_in_proportion_to_the_corpus():
     count = lambda n: n / lm.sizes(n)[0] * n / lm.sizes(n)[1]
     for small, large in ((2 * 10**10, 2 * 10**11), (10**11, 10**12)):
