@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from siftlane.schema import ALIGNMENTS, REFERENCES
-from siftlane.sources.bgzf import EOF, Stream, block, write_blocks
+from siftlane.sources.bgzf import EOF, Stream, block, block_after, read_blocks, write_blocks
 
 #: Codes of operations and of bases.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
@@ -174,7 +174,7 @@ def header_of(path: str) -> Header:
 
 
 def records_of(path: str, start: int | None = None, end: int | None = None) -> Iterator[tuple[int, bytes]]:
-    """(virtual offset, bytes) of each record that begins in [start, end); from the first record without start."""
+    """(virtual offset, bytes) of each record that begins in [start, end); from the first record without start. end must be a record's begin."""
     with open(path, "rb") as f:
         s = Stream(f, start or 0)
         if start is None:
@@ -182,13 +182,68 @@ def records_of(path: str, start: int | None = None, end: int | None = None) -> I
         while end is None or s.tell() < end:
             at, head = s.tell(), s.read(4)
             if not head:
-                return
+                break
             if len(head) < 4:
                 raise ValueError(f"{path} ends inside a record")
             raw = s.read(size := struct.unpack("<i", head)[0])
             if len(raw) < size:
                 raise ValueError(f"{path} ends inside a record")
             yield at, raw
+        if end is not None and s.tell() != end:
+            raise ValueError(f"{path}: no record begins at {end}; read it with split=false")
+
+
+#: Bytes of data by which the begin of a record is told, and records that must follow one another there; more bytes where records are longer.
+PROBE, CHAIN, LONG_PROBE = 1 << 19, 3, 1 << 24
+
+
+def record_after(path: str, offset: int, references: int) -> int | None:
+    """The virtual offset of the first record that begins in a block at or after a place in the file; None if there is none.
+
+    Blocks are told by their own checksums, and a record by the chain of well-formed ones that begins
+    with it. Whoever reads up to it finds out if it is none: see records_of.
+    """
+    with open(path, "rb") as f:
+        begin = block_after(f, offset)
+        if begin is None:
+            return None
+        for most in (PROBE, LONG_PROBE):
+            data, ends, whole = bytearray(), [], True
+            for at, own in read_blocks(f, begin):
+                ends.append((len(data), at))
+                data += own
+                if len(data) >= most:
+                    whole = False
+                    break
+            for i in range(len(data)):
+                if _chained(data, i, references, whole):
+                    first, place = max(x for x in ends if x[0] <= i)
+                    return place << 16 | (i - first)
+            if whole:
+                return None
+    raise ValueError(f"{path}: no record is found after {offset}; read it with split=false")
+
+
+def _chained(data: bytearray, at: int, references: int, whole: bool) -> bool:
+    """Whether well-formed records follow one another from a place on: CHAIN of them, or up to the end of the file."""
+    for n in range(CHAIN):
+        if at == len(data):
+            return whole and n > 0
+        if at + 36 > len(data):
+            return False
+        size, ref, pos, name_len, _, _, ops, _, bases, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+        fixed = 32 + name_len + 4 * ops + (bases + 1) // 2 + bases
+        if not (-1 <= ref < references and -1 <= mate < references and pos >= -1 and mate_pos >= -1 and name_len > 0 and bases >= 0 and fixed <= size):
+            return False
+        end = at + 36 + name_len
+        if end > len(data) or data[end - 1] or not all(32 < c < 127 for c in data[at + 36 : end - 1]):
+            return False
+        if end + 4 * ops <= len(data) and any(data[k] & 15 > 8 for k in range(end, end + 4 * ops, 4)):
+            return False
+        at += 4 + size
+        if at > len(data):
+            return False
+    return True
 
 
 def read_bai(path: str) -> list[int]:
@@ -272,8 +327,9 @@ def is_sorted(path: str) -> bool:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, start: int | None, end: int | None, whole: bool):
-        self.path, self.start, self.end, self.whole = path, start, end, whole
+    def __init__(self, path: str, start: int | None, end: int | None, whole: bool, raw: bool = False):
+        """start and end: virtual offsets of records, or if raw places in the file."""
+        self.path, self.start, self.end, self.whole, self.raw = path, start, end, whole, raw
 
 
 class _Reader(DataSourceReader):
@@ -284,12 +340,17 @@ class _Reader(DataSourceReader):
         self.core, self.table = options.get("fields", "all") == "core", options.get("table", "records")
 
     def partitions(self) -> list[_Range]:
+        """Ranges by the index, of about rangebytes; without an index, by places in the file, whose records the tasks find."""
         out = []
         for p in self.paths:
             size = int(self.options.get("rangebytes", 64 << 20))
-            if self.table != "records" or self.options.get("split", "true") == "false" or not os.path.exists(p + ".bai"):
+            if self.table != "records" or self.options.get("split", "true") == "false":
                 out.append(_Range(p, None, None, True))
                 continue
+            if not os.path.exists(p + ".bai"):
+                edges = [None, *range(size, os.path.getsize(p), size), None]
+                out += [_Range(p, a, b, len(edges) == 2, True) for a, b in zip(edges, edges[1:], strict=False)]
+                continue
             cuts: list[int] = []
             for offset in read_bai(p + ".bai"):
                 if offset >> 16 >= (cuts[-1] >> 16 if cuts else 0) + size:
@@ -306,10 +367,14 @@ class _Reader(DataSourceReader):
                 row = base | {"ref_id": i, "ref_name": name, "ref_len": size}
                 yield tuple(row[c] for c in self.columns)
             return
-        tag = self.options.get("nmtag", "NM")
-        for n, (_, raw) in enumerate(records_of(part.path, part.start, part.end)):
+        tag, start, end = self.options.get("nmtag", "NM"), part.start, part.end
+        if part.raw:
+            start, end = (None if x is None else record_after(part.path, x, len(refs)) for x in (start, end))
+            if part.start is not None and start is None:
+                return  # no record begins so far on
+        for n, (_, raw) in enumerate(records_of(part.path, start, end)):
             row = base | decode_record(raw, refs, self.core, tag)
-            row["ordinal"] = n if part.start is None else None
+            row["ordinal"] = n if start is None else None
             yield tuple(row.get(c) for c in self.columns)
 
 

@@ -46,6 +46,24 @@ def read_blocks(f: BinaryIO, offset: int = 0) -> Iterator[tuple[int, bytes]]:
         offset += size
 
 
+def block_after(f: BinaryIO, offset: int) -> int | None:
+    """Where the first block at or after a place in the file begins; None if there is none. A block is one if it can be read."""
+    while True:
+        f.seek(offset)
+        raw = f.read(1 << 17)
+        at = raw.find(b"\x1f\x8b\x08\x04")
+        while at >= 0:
+            try:
+                if next(read_blocks(f, offset + at), None):
+                    return offset + at
+            except (BgzfError, zlib.error):
+                pass
+            at = raw.find(b"\x1f\x8b\x08\x04", at + 1)
+        if len(raw) < 4:
+            return None
+        offset += len(raw) - 3
+
+
 def block(data: bytes) -> bytes:
     """One block of at most BLOCK bytes of data."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)

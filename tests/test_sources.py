@@ -47,6 +47,25 @@ def test_ranges_hold_every_record_once(spark, tmp_path):
     assert split.select("qname").distinct().count() == split.count() == len(rows)
 
 
+def test_files_without_an_index_are_read_in_parts(spark, tmp_path):
+    """Records of all lengths, some longer than a block, some that look like the begin of others, in parts of any size."""
+    import random
+
+    r = random.Random(5)
+    rows = [(f"name{i}", 16 * (i % 2), -1 if i % 9 == 0 else 0, i, f"{n}M", "".join(r.choice("ACGTN") for _ in range(n)), i % 7) for i, n in enumerate(r.choice([1, 5, 90, 151]) if k % 400 else 150_000 for k in range(3000))]
+    path = write(spark, tmp_path / "u.bam", rows, 3)
+    want = sorted((q, flag, pos, len(seq)) for q, flag, _, pos, _, seq, _ in rows)
+    size = os.path.getsize(path)
+    for part in (size // 3, size // 40, 5000):
+        got = bam.read_bam(spark, path, rangeBytes=str(part))
+        assert got.rdd.getNumPartitions() > 2
+        assert sorted((x.qname, x.flag, x.pos, len(x.seq)) for x in got.collect()) == want
+    first = [at for at, _ in bam.records_of(path)]
+    assert bam.record_after(path, 0, 1) == first[0] and bam.record_after(path, size - 10, 1) is None
+    with pytest.raises(ValueError, match="split=false"):
+        list(bam.records_of(path, None, first[5] + 1))
+
+
 def test_damaged_file(spark, tmp_path):
     path = write(spark, tmp_path / "d.bam", [("a", 0, 0, 1, "1M", "A", 0)])
     raw = bytearray(open(path, "rb").read())
