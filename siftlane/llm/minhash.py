@@ -41,6 +41,8 @@ from siftlane.llm.components import connected_components
 BLOCK = 1 << 20
 #: Mean documents, and mean shingles, in a chunk at most; a tile holds two chunks.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+#: The rows of a component of many chunks meet its few rows of another table in so many tasks.
+SALTS = 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,6 +227,12 @@ def _chunks(n: Column, shingles: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / CHUNK), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
 
 
+def spread_join(rows: DataFrame, few: DataFrame, on: list[str], by: str = "node") -> DataFrame:
+    """rows joined with a table of a few rows for each key, which are repeated, so that a key with most of the rows isn't one task's."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
+
+
 def tiles(known: DataFrame) -> DataFrame:
     """component, a, b, side, class and shingles: known (node, class, component, cell, rest, shingles) dealt to tiles of two chunks of neighbouring cells, not both of the core."""
     cells = known.groupBy("component", "cell", "rest").agg(_chunks(F.count("*"), F.sum(F.octet_length("shingles") / 8)).alias("chunks"))
@@ -235,7 +243,7 @@ def tiles(known: DataFrame) -> DataFrame:
     place = lambda cell, rest, chunk: F.struct(cell.alias("cell"), rest.alias("rest"), chunk.cast("int").alias("chunk"))
     own = place(F.col("cell"), F.col("rest"), F.pmod(F.xxhash64("node", F.lit(5)), mine))
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["chunks"] - 1), lambda k: place(c["cell"], c["rest"], k))))
-    dealt = known.join(listed, "component").select("component", "class", "shingles", own.alias("own"), F.explode(others).alias("other"))
+    dealt = spread_join(known, listed, ["component"]).select("component", "class", "shingles", own.alias("own"), F.explode(others).alias("other"))
     return dealt.select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "class", "shingles")
 
 
@@ -246,14 +254,14 @@ def join_crowds(first: DataFrame, percent: int) -> DataFrame:
 
     # Round 2: each chunk meets the first of its cell, and that one the first of the cell below.
     asked = rows.select("component", F.when(F.col("chunk") == 0, F.col("cell") - 1).otherwise(F.col("cell")).alias("with"), "cell", "chunk").distinct()
-    pivots = rows.where("chunk = 0").select("component", F.col("cell").alias("with"), "class", "shingles").join(asked, ["component", "with"])
+    pivots = spread_join(rows.where("chunk = 0").select("node", "component", F.col("cell").alias("with"), "class", "shingles"), asked, ["component", "with"])
     met = rows.select("component", "cell", "chunk", "class", "shingles", F.lit(1).alias("side")).unionByName(pivots.select("component", "cell", "chunk", "class", "shingles", F.lit(0).alias("side")))
     crowds = connected_components(met.groupBy("component", "cell", "chunk").applyInArrow(_verify(percent), links), "minhash-crowds")
     known = rows.join(crowds.select("node", F.col("component").alias("mid")), rows["class"] == crowds["node"], "left").select(rows["node"], F.col("class").alias("was"), F.coalesce("mid", "class").alias("class"), "component", "cell", "shingles")
 
     # Round 3: all but the core meet one another and the core.
     cores = known.groupBy("component", "class").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("class", F.struct("n", "class")).alias("core"))
-    known = stage(known.join(cores, "component").withColumn("rest", (F.col("class") != F.col("core")).cast("int")).drop("core"), "minhash-known")
+    known = stage(spread_join(known, cores, ["component"]).withColumn("rest", (F.col("class") != F.col("core")).cast("int")).drop("core"), "minhash-known")
     unstage(crowds)
     last = connected_components(tiles(known).groupBy("component", "a", "b").applyInArrow(_verify(percent), links), "minhash-bridges")
     names = known.select(F.col("was").alias("class"), F.col("class").alias("mid")).distinct()
