@@ -86,6 +86,7 @@ def score_audit(records: DataFrame, references: DataFrame | None = None, names:
     out = audited(records, names, limit)
     if references is not None:
         out = named_references(out, references)
-    nm = F.when(score.reference_error().isNull(), score.edit_distance("seq", "window", score.parsed_cigar(), score.conversion() if bisulfite else None))
-    out = out.withColumn("nm_found", nm).withColumn("i", score.insertions()).withColumn("s", score.soft_clips())
+    facts = score.cigar_facts()
+    nm = F.when(score.reference_error(facts=facts).isNull(), score.edit_distance("seq", "window", "cigar", score.conversion() if bisulfite else None))
+    out = out.withColumns({"nm_found": nm, "i": facts["insertions"], "s": facts["soft_clips"]})
     return out.select(F.col("ordinal").alias("record_ordinal"), "qname", "flag", F.col("ref_name").alias("reference"), F.col("pos").alias("position_0_based"), "cigar", F.coalesce("nm", F.lit(-1)).alias("stored_nm"), F.col("nm_found").alias("nm"), F.col("i").alias("insertions"), F.col("s").alias("soft_clips"), (F.col("nm_found") + F.col("i") + F.col("s")).alias("classification_score"))
