@@ -27,19 +27,20 @@ class Result:
 
 def with_score(records: DataFrame, config: Config) -> DataFrame:
     """Adds score and score_error: from the tag, or against the reference window (column window, see sources.fasta)."""
-    parts = score.insertions() + score.soft_clips()
     tag = score.tag_error()
     if config.mode == "tag":
+        parts = score.insertions() + score.soft_clips()
         return records.withColumn("score", F.when(tag.isNull(), F.col("nm") + parts)).withColumn("score_error", tag)
-    ops = score.parsed_cigar()
     converted = score.conversion() if config.mode == "bisulfite" else None
-    error = score.reference_error()
-    anew = F.when(error.isNull(), score.edit_distance("seq", "window", ops, converted))
+    facts = score.cigar_facts()
+    error = score.reference_error(facts=facts)
+    anew = F.when(error.isNull(), score.edit_distance("seq", "window", "cigar", converted))
     nm = anew
     if config.mode == "tag_or_recompute":
         there = F.col("nm_type").isNotNull() | F.col("nm").isNotNull()
         nm, error = F.when(there, F.when(tag.isNull(), F.col("nm"))).otherwise(anew), F.when(there, tag).otherwise(error)
-    return records.withColumn("score_error", error).withColumn("computed_nm", nm).withColumn("score", F.col("computed_nm") + parts)
+    out = records.withColumns({"score_error": error, "computed_nm": nm, "parts": facts["insertions"] + facts["soft_clips"]})
+    return out.withColumn("score", F.col("computed_nm") + F.col("parts")).drop("parts")
 
 
 def run_samples(graft: DataFrame, host: DataFrame, config: Config) -> Result:
