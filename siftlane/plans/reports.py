@@ -33,14 +33,15 @@ def membership_report(original: DataFrame, modern: DataFrame, legacy: DataFrame)
 def stratify_report(disagreements: DataFrame, wanted: str, size: int, key: Column, inputs: dict[str, DataFrame]) -> tuple[DataFrame, dict]:
     """Shapes of a sample of disagreements in each input, and the report; a class without disagreements is an error.
 
-    The sample is as small as its size says, so only its names' records are aggregated.
+    The sample is as small as its size says, so only its names' records are aggregated, once: its shapes are held as a local table.
     """
-    sample = e.sample_disagreements(disagreements, wanted, size, key).select(F.col("fragment_id").alias("qname"))
-    own = {name: df.join(F.broadcast(sample), "qname", "left_semi") for name, df in inputs.items()}
-    shapes = e.stratify(sample, **own)
     matching = disagreements.where(F.concat_ws("/", "modern_classification", "legacy_classification") == wanted).count()
     if not matching:
         raise ValueError(f"no disagreement is {wanted}")
+    sample = e.sample_disagreements(disagreements, wanted, size, key).select(F.col("fragment_id").alias("qname"))
+    own = {name: df.join(F.broadcast(sample), "qname", "left_semi") for name, df in inputs.items()}
+    shapes = e.stratify(sample, **own)
+    shapes = sample.sparkSession.createDataFrame(shapes.collect(), shapes.schema)
     tables: dict[str, dict] = {}
     for row in e.crosstabs(shapes).orderBy("counter", "value").collect():  # shapes of a sample: some dozens
         tables.setdefault(row.counter, {})[row.value] = row.n
